@@ -6,8 +6,11 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
+from .decontaminate import scan
+from .media import digest, sniff, store_texts
 from .packing import pack
 from .token_counts import token_counts
 
@@ -18,6 +21,11 @@ def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
     return Path(public_tokenizers.path(name)).read_text()
 
 
+def op2_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = store_texts(common.table(spark, sf_dir, "documents"))
+    return digest(sniff(stored, declared=F.lit("application/octet-stream")))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(common.table(spark, sf_dir, "documents"), tokenizer_json())
 
@@ -26,9 +34,45 @@ def op9_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.table(spark, sf_dir, "documents"), tokenizer_json())
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = scan(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return hits.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_media_sniffing": op2_media_sniffing,
     "op3_token_counts": op3_token_counts,
     "op9_kk_packing": op9_kk_packing,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: 10 consecutive words; texts between 1 and 9 words are one window. Equal windows are joined on their joined words.
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM bw
+), dw AS (
+  SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS g
+  FROM (SELECT r, w, n, unnest(generate_series(1, CAST(len(w) - n + 1 AS BIGINT))) AS i FROM d, sizes WHERE len(w) >= n)
+), hit AS (SELECT dw.r, dw.i, dw.n, bw.item FROM dw JOIN bw ON dw.g = bw.g AND dw.n = bw.n
+), pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(generate_series(i, i + n - 1)) AS p FROM hit) GROUP BY r
+), it AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY r
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (r) LEFT JOIN it USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_decontamination": OP10_SQL}
