@@ -12,6 +12,7 @@ from . import common
 from .decontaminate import scan
 from .media import digest, sniff, store_texts
 from .packing import pack
+from .simhash import simhash_components
 from .token_counts import token_counts
 
 
@@ -30,6 +31,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(common.table(spark, sf_dir, "documents"), tokenizer_json())
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.table(spark, sf_dir, "documents"), tokenizer_json())
 
@@ -49,6 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_sniffing": op2_media_sniffing,
     "op3_token_counts": op3_token_counts,
+    "op5_simhash": op5_simhash,
     "op9_kk_packing": op9_kk_packing,
     "op10_decontamination": op10_decontamination,
 }
