@@ -1,6 +1,7 @@
 """Token counts: pieces are counted once per distinct pre-token, joined to per-document pre-token frequencies, summed.
 
-No id is ever made for a document. Frequencies travel inverted: a block of documents gives one row per distinct
+No id is ever made for a document. The texts are read twice, once for the distinct pre-tokens and once for the
+frequencies, which takes less disk than keeping the frequencies. Frequencies travel inverted: a block of documents gives one row per distinct
 pre-token with the packed (document number, frequency) pairs, so a frequent pre-token is one row a block, the join
 has one row per (block, pre-token), and AQE can split a pre-token that is hot across blocks.
 
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +25,9 @@ from . import common
 from .pretokens import Pretokenizer, text_bytes
 
 #: A block ends at either bound; it bounds what one task holds, not what is counted.
-BLOCK_DOCS, BLOCK_BYTES = 8192, 32 << 20
+BLOCK_DOCS, BLOCK_BYTES = 16384, 48 << 20
+#: The row that lists a block's documents has this mark and the block's number where others have the pre-token.
+_LIST = "\uffff"
 
 POSTINGS = "block long, pretoken string, postings binary, doc_ids array<long>, n_bytes array<long>"
 _PAIR = np.dtype([("doc", "<u2"), ("n", "u1")])
@@ -48,18 +52,24 @@ def _postings(tokenizer):
         for ids, texts, size in _blocks(batches):
             number: dict[str, int] = defaultdict()
             number.default_factory = number.__len__
-            per_doc = []
-            for t in texts.to_pylist():
+            keys = []
+            for d, t in enumerate(texts.to_pylist()):
                 toks = pre.split(t)
-                per_doc.append(np.fromiter(map(number.__getitem__, toks), np.int64, len(toks)))
-            flat = np.concatenate(per_doc)
-            doc = np.repeat(np.arange(len(per_doc)), [len(x) for x in per_doc])
-            key, n = np.unique((flat << 16) | doc, return_counts=True)
-            while (n > 255).any():  # frequencies over 255 as several pairs
-                over = n > 255
-                key, n = np.concatenate([key, key[over]]), np.concatenate([np.where(over, 255, n), n[over] - 255])
-            order = np.argsort(key, kind="stable")
-            key, n = key[order], n[order]
+                key = np.fromiter(map(number.__getitem__, toks), np.int64, len(toks))
+                key <<= 16
+                key |= d
+                keys.append(key)
+            key = np.concatenate(keys)
+            keys.clear()
+            key.sort()
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            n = np.diff(first, append=len(key))
+            key = key[first]
+            if (n > 255).any():  # a frequency over 255 is several pairs
+                times = -(-n // 255)
+                key, left = np.repeat(key, times), np.repeat(n, times)
+                left -= 255 * (np.arange(len(key)) - np.repeat(np.cumsum(times) - times, times))
+                n = np.minimum(left, 255)
             pairs = np.empty(len(key), _PAIR)
             pairs["doc"], pairs["n"] = key & 0xFFFF, n
             word = key >> 16
@@ -69,12 +79,24 @@ def _postings(tokenizer):
                 hi = min(lo + 50_000, len(words))
                 part = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((edge[lo : hi + 1] - edge[lo]).astype(np.int32)), pa.py_buffer(pairs.tobytes()[edge[lo] : edge[hi]])])
                 yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(block, pa.int64()), hi - lo), pa.array(words[lo:hi], pa.string()), part, pa.nulls(hi - lo, pa.list_(pa.int64())), pa.nulls(hi - lo, pa.list_(pa.int64()))], schema=schema)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([None], pa.string()), pa.array([None], pa.binary()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([size.tolist()], pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([f"{_LIST}{block}"]), pa.array([None], pa.binary()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([size.tolist()], pa.list_(pa.int64()))], schema=schema)
             block += 1
 
     return run
 
 
+def _distinct(tokenizer):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pre = Pretokenizer(tokenizer.value)
+        for _, texts, _ in _blocks(batches):
+            seen: set[str] = set()
+            for t in texts.to_pylist():
+                seen.update(pre.split(t))
+            yield pa.RecordBatch.from_arrays([pa.array([pre.canonical(p) for p in seen], pa.string())], ["pretoken"])
+
+    return run
+
+
 def _count_pieces(tokenizer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre = Pretokenizer(tokenizer.value)
@@ -87,15 +109,21 @@ def _count_pieces(tokenizer):
 def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, postings, n_pieces) to one row per block and flush: packed document numbers and sums."""
     sums: dict[int, np.ndarray] = {}
+    names = ["block", "docs", "sums", "doc_ids", "n_bytes"]
 
     def flush():
         rows = [(k, np.flatnonzero(v), v) for k, v in sums.items()]
         sums.clear()
         return pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _, _ in rows], pa.int64()), pa.array([at.astype("<u2").tobytes() for _, at, _ in rows], pa.binary()), pa.array([v[at].astype("<u4" if v.max(initial=0) < 1 << 32 else "<u8").tobytes() for _, at, v in rows], pa.binary())], ["block", "docs", "sums"]
+            [pa.array([k for k, _, _ in rows], pa.int64()), pa.array([at.astype("<u2").tobytes() for _, at, _ in rows], pa.binary()), pa.array([v[at].astype("<u4" if v.max(initial=0) < 1 << 32 else "<u8").tobytes() for _, at, v in rows], pa.binary()), pa.nulls(len(rows), pa.list_(pa.int64())), pa.nulls(len(rows), pa.list_(pa.int64()))], names
         )
 
     for b in batches:
+        listed = b.column(2).is_null()
+        if listed.true_count:  # the rows that list a block's documents pass
+            to = b.filter(listed)
+            yield pa.RecordBatch.from_arrays([to.column(0), pa.nulls(len(to), pa.binary()), pa.nulls(len(to), pa.binary()), to.column(3), to.column(4)], names)
+            b = b.filter(pc.invert(listed))
         block, pieces = b.column(0).to_numpy(), b.column(2).to_numpy()
         edges = text_bytes(b.column(1)) // _PAIR.itemsize
         buf = b.column(1).buffers()
@@ -132,11 +160,9 @@ def token_counts(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", t
     """Per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
     spark = docs.sparkSession
     tokenizer = spark.sparkContext.broadcast(tokenizer_json)  # one vocabulary file, of fixed size
-    rows = common.materialise(common.text_only(docs, id_col, text_col).mapInArrow(_postings(tokenizer), POSTINGS), "postings")
-    freq = rows.where("pretoken is not null")
-    pieces = freq.select("pretoken").distinct().mapInArrow(_count_pieces(tokenizer), "pretoken string, n_pieces long")
-    sums = freq.join(pieces, "pretoken").select("block", "postings", "n_pieces").mapInArrow(_partial_sums, "block long, docs binary, sums binary")
-    ids = rows.where("pretoken is null").select("block", F.lit(None).cast("binary").alias("docs"), F.lit(None).cast("binary").alias("sums"), "doc_ids", "n_bytes")
-    both = sums.select("*", F.lit(None).cast("array<long>").alias("doc_ids"), F.lit(None).cast("array<long>").alias("n_bytes")).unionByName(ids)
-    done = both.repartition(common.n_partitions(spark), "block").sortWithinPartitions("block", F.col("doc_ids").isNotNull()).mapInArrow(_per_document, "doc_id long, n_bytes long, n_tokens long")
+    texts = common.text_only(docs, id_col, text_col)
+    rows = texts.mapInArrow(_postings(tokenizer), POSTINGS)
+    pieces = texts.select("doc_id", "text").mapInArrow(_distinct(tokenizer), "pretoken string").distinct().mapInArrow(_count_pieces(tokenizer), "pretoken string, n_pieces long")
+    sums = rows.join(pieces, "pretoken", "left").select("block", "postings", "n_pieces", "doc_ids", "n_bytes").mapInArrow(_partial_sums, "block long, docs binary, sums binary, doc_ids array<long>, n_bytes array<long>")
+    done = sums.repartition(common.n_partitions(spark), "block").sortWithinPartitions("block", F.col("doc_ids").isNotNull()).mapInArrow(_per_document, "doc_id long, n_bytes long, n_tokens long")
     return done.withColumn("over_limit", F.col("n_tokens") > limit)
