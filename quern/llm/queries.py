@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from . import common
 from .decontaminate import scan
+from .html_text import extract_text
+from .licenses import oracle as licenses_sql
+from .licenses import scan_licenses
 from .media import digest, sniff, store_texts
 from .packing import pack
 from .simhash import simhash_components
@@ -36,6 +39,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(common.table(spark, sf_dir, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(common.table(spark, sf_dir, "pages"))
+
+
 def op9_kk_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.table(spark, sf_dir, "documents"), tokenizer_json())
 
@@ -56,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_sniffing": op2_media_sniffing,
     "op3_token_counts": op3_token_counts,
     "op5_simhash": op5_simhash,
+    "op7_license_scan": op7_license_scan,
+    "op8_html_extraction": op8_html_extraction,
     "op9_kk_packing": op9_kk_packing,
     "op10_decontamination": op10_decontamination,
 }
@@ -82,4 +95,4 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN pos USING (r) LEFT JOIN it USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_decontamination": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_license_scan": licenses_sql(), "op10_decontamination": OP10_SQL}
