@@ -13,6 +13,8 @@ from .decontaminate import scan
 from .html_text import extract_text
 from .licenses import oracle as licenses_sql
 from .licenses import scan_licenses
+from .lm_scores import lm_scores
+from .lm_scores import oracle as lm_sql
 from .media import digest, sniff, store_texts
 from .packing import pack
 from .simhash import simhash_components
@@ -39,6 +41,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(common.table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(common.table(spark, sf_dir, "documents"))
 
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_sniffing": op2_media_sniffing,
     "op3_token_counts": op3_token_counts,
     "op5_simhash": op5_simhash,
+    "op6_stupid_backoff": op6_stupid_backoff,
     "op7_license_scan": op7_license_scan,
     "op8_html_extraction": op8_html_extraction,
     "op9_kk_packing": op9_kk_packing,
@@ -95,4 +102,4 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN pos USING (r) LEFT JOIN it USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_license_scan": licenses_sql(), "op10_decontamination": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_stupid_backoff": lm_sql(), "op7_license_scan": licenses_sql(), "op10_decontamination": OP10_SQL}
