@@ -18,6 +18,7 @@ from .lm_scores import oracle as lm_sql
 from .media import digest, sniff, store_texts
 from .packing import pack
 from .simhash import simhash_components
+from .substring_dedup import repeats
 from .token_counts import token_counts
 
 
@@ -36,6 +37,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(common.table(spark, sf_dir, "documents"), tokenizer_json())
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(common.table(spark, sf_dir, "documents")).drop("row")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -72,6 +77,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_sniffing": op2_media_sniffing,
     "op3_token_counts": op3_token_counts,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash": op5_simhash,
     "op6_stupid_backoff": op6_stupid_backoff,
     "op7_license_scan": op7_license_scan,
