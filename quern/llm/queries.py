@@ -17,6 +17,7 @@ from .lm_scores import lm_scores
 from .lm_scores import oracle as lm_sql
 from .media import digest, sniff, store_texts
 from .packing import pack
+from .quality import score, train
 from .simhash import simhash_components
 from .substring_dedup import repeats
 from .token_counts import token_counts
@@ -28,6 +29,11 @@ def tokenizer_json(name: str = "word_bpe_49k.json") -> str:
     return Path(public_tokenizers.path(name)).read_text()
 
 
+def op1_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return score(docs, train(docs, common.table(spark, sf_dir, "labels")))
+
+
 def op2_media_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store_texts(common.table(spark, sf_dir, "documents"))
     return digest(sniff(stored, declared=F.lit("application/octet-stream")))
@@ -75,6 +81,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_cotraining": op1_quality_cotraining,
     "op2_media_sniffing": op2_media_sniffing,
     "op3_token_counts": op3_token_counts,
     "op4_substring_dedup": op4_substring_dedup,
