@@ -29,7 +29,7 @@ BLOCK_DOCS, BLOCK_BYTES = 16384, 48 << 20
 #: The row that lists a block's documents has this mark and the block's number where others have the pre-token.
 _LIST = "\uffff"
 
-POSTINGS = "block long, pretoken string, postings binary, doc_ids array<long>, n_bytes array<long>"
+POSTINGS = "block long, pretoken string, postings binary, listing binary"
 _PAIR = np.dtype([("doc", "<u2"), ("n", "u1")])
 
 
@@ -44,10 +44,20 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Ar
             at += n
 
 
+def _list(ids: pa.Array, size: np.ndarray) -> bytes:
+    """Ids, whether they are null, and sizes of a block's documents. A binary column, as null lists are slow to pass."""
+    return ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes() + ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes() + size.astype("<i8").tobytes()
+
+
+def _listed(x: bytes) -> tuple[pa.Array, np.ndarray]:
+    n = len(x) // 17
+    return pa.array(np.frombuffer(x, "<i8", n), mask=np.frombuffer(x, np.uint8, n, 8 * n).astype(bool)), np.frombuffer(x, "<i8", n, 9 * n)
+
+
 def _postings(tokenizer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre = Pretokenizer(tokenizer.value)
-        schema = pa.schema([("block", pa.int64()), ("pretoken", pa.string()), ("postings", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))])
+        schema = pa.schema([("block", pa.int64()), ("pretoken", pa.string()), ("postings", pa.binary()), ("listing", pa.binary())])
         block = TaskContext.get().partitionId() << 32
         for ids, texts, size in _blocks(batches):
             number: dict[str, int] = defaultdict()
@@ -78,8 +88,8 @@ def _postings(tokenizer):
             for lo in range(0, len(words), 50_000):
                 hi = min(lo + 50_000, len(words))
                 part = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((edge[lo : hi + 1] - edge[lo]).astype(np.int32)), pa.py_buffer(pairs.tobytes()[edge[lo] : edge[hi]])])
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(block, pa.int64()), hi - lo), pa.array(words[lo:hi], pa.string()), part, pa.nulls(hi - lo, pa.list_(pa.int64())), pa.nulls(hi - lo, pa.list_(pa.int64()))], schema=schema)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([f"{_LIST}{block}"]), pa.array([None], pa.binary()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([size.tolist()], pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(block, pa.int64()), hi - lo), pa.array(words[lo:hi], pa.string()), part, pa.nulls(hi - lo, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([f"{_LIST}{block}"]), pa.array([None], pa.binary()), pa.array([_list(ids, size)], pa.binary())], schema=schema)
             block += 1
 
     return run
@@ -109,20 +119,20 @@ def _count_pieces(tokenizer):
 def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, postings, n_pieces) to one row per block and flush: packed document numbers and sums."""
     sums: dict[int, np.ndarray] = {}
-    names = ["block", "docs", "sums", "doc_ids", "n_bytes"]
+    names = ["block", "docs", "sums", "listing"]
 
     def flush():
         rows = [(k, np.flatnonzero(v), v) for k, v in sums.items()]
         sums.clear()
         return pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _, _ in rows], pa.int64()), pa.array([at.astype("<u2").tobytes() for _, at, _ in rows], pa.binary()), pa.array([v[at].astype("<u4" if v.max(initial=0) < 1 << 32 else "<u8").tobytes() for _, at, v in rows], pa.binary()), pa.nulls(len(rows), pa.list_(pa.int64())), pa.nulls(len(rows), pa.list_(pa.int64()))], names
+            [pa.array([k for k, _, _ in rows], pa.int64()), pa.array([at.astype("<u2").tobytes() for _, at, _ in rows], pa.binary()), pa.array([v[at].astype("<u4" if v.max(initial=0) < 1 << 32 else "<u8").tobytes() for _, at, v in rows], pa.binary()), pa.nulls(len(rows), pa.binary())], names
         )
 
     for b in batches:
         listed = b.column(2).is_null()
         if listed.true_count:  # the rows that list a block's documents pass
             to = b.filter(listed)
-            yield pa.RecordBatch.from_arrays([to.column(0), pa.nulls(len(to), pa.binary()), pa.nulls(len(to), pa.binary()), to.column(3), to.column(4)], names)
+            yield pa.RecordBatch.from_arrays([to.column(0), pa.nulls(len(to), pa.binary()), pa.nulls(len(to), pa.binary()), to.column(3)], names)
             b = b.filter(pc.invert(listed))
         block, pieces = b.column(0).to_numpy(), b.column(2).to_numpy()
         edges = text_bytes(b.column(1)) // _PAIR.itemsize
@@ -146,14 +156,15 @@ def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Rows sorted by block, a block's documents last."""
     total, at = np.zeros(BLOCK_DOCS, np.int64), None
     for b in batches:
-        for block, docs, sums, ids, sizes in zip(*(b.column(c).to_pylist() for c in ("block", "docs", "sums", "doc_ids", "n_bytes")), strict=True):
+        for block, docs, sums, listing in zip(*(b.column(c).to_pylist() for c in ("block", "docs", "sums", "listing")), strict=True):
             if block != at:
                 total[:], at = 0, block
-            if ids is None:
+            if listing is None:
                 to = np.frombuffer(docs, "<u2")
                 total[to] += np.frombuffer(sums, "<u4" if len(sums) == 4 * len(to) else "<u8").astype(np.int64)
             else:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(total[: len(ids)])], ["doc_id", "n_bytes", "n_tokens"])
+                ids, sizes = _listed(listing)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(total[: len(ids)])], ["doc_id", "n_bytes", "n_tokens"])
 
 
 def token_counts(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
@@ -163,6 +174,6 @@ def token_counts(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", t
     texts = common.text_only(docs, id_col, text_col)
     rows = texts.mapInArrow(_postings(tokenizer), POSTINGS)
     pieces = texts.select("doc_id", "text").mapInArrow(_distinct(tokenizer), "pretoken string").distinct().mapInArrow(_count_pieces(tokenizer), "pretoken string, n_pieces long")
-    sums = rows.join(pieces, "pretoken", "left").select("block", "postings", "n_pieces", "doc_ids", "n_bytes").mapInArrow(_partial_sums, "block long, docs binary, sums binary, doc_ids array<long>, n_bytes array<long>")
-    done = sums.repartition(common.n_partitions(spark), "block").sortWithinPartitions("block", F.col("doc_ids").isNotNull()).mapInArrow(_per_document, "doc_id long, n_bytes long, n_tokens long")
+    sums = rows.join(pieces, "pretoken", "left").select("block", "postings", "n_pieces", "listing").mapInArrow(_partial_sums, "block long, docs binary, sums binary, listing binary")
+    done = sums.repartition(common.n_partitions(spark), "block").sortWithinPartitions("block", F.col("listing").isNotNull()).mapInArrow(_per_document, "doc_id long, n_bytes long, n_tokens long")
     return done.withColumn("over_limit", F.col("n_tokens") > limit)
