@@ -1,6 +1,6 @@
 """Quality classifier by co-training: a text-content view and a page-metadata view teach each other, then are combined.
 
-Content: presence of telling words (by 64-bit hash, chosen by their log-odds' z-score) and binned surface figures of the
+Content: presence of telling words (by 64-bit hash, chosen by the root of their log-likelihood ratio) and binned surface figures of the
 text (case, symbols, repeats, line and word lengths). Metadata: source, language and length class. In each round both
 views are fitted to the labelled rows and to what the other gave; each then marks the pool rows it is confident of -
 beyond the score at which it is right ``PRECISION`` of the time on held-out labelled rows - for the other. In the end
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .bytewords import Words, column_bytes, column_words
 
 #: Bounds of the rows that fitting takes.
-MAX_LABELLED, MAX_POOL = 8000, 4000
-ROUNDS, PRECISION, MOST_WORDS, MIN_Z, BINS = 3, 0.98, 256, 4.0, 10
+MAX_LABELLED, MAX_POOL = 16000, 4000
+ROUNDS, PRECISION, MOST_WORDS, MIN_Z, BINS = 3, 0.98, 256, 3.5, 10
 
 _B = np.arange(256)
 _UPPER = ((_B >= 65) & (_B <= 90)).astype(np.int64)
@@ -139,25 +139,28 @@ class Rows:
     source: list
     lang: list
     n_chars: np.ndarray
+    #: Whether no earlier row has the same words.
+    first: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.figures)
 
 
 class Content:
-    """Words chosen by z-score, and binned figures."""
+    """Words that tell the classes apart (log-likelihood ratio), and binned figures."""
 
     def __init__(self, rows: Rows, use: np.ndarray, y: np.ndarray):
+        use = use & rows.first  # a text that is there several times tells once
         pick = use[rows.of]
         w, positive = rows.words[pick], y[rows.of][pick]
         u, inverse = np.unique(w, return_inverse=True)
-        a = np.bincount(inverse, positive, len(u)) + 0.5
-        b = np.bincount(inverse, 1 - positive, len(u)) + 0.5
-        na, nb = y[use].sum() + 1, (1 - y[use]).sum() + 1
-        z = (np.log(a / (na - a + 0.5).clip(0.5)) - np.log(b / (nb - b + 0.5).clip(0.5))) / np.sqrt(1 / a + 1 / b)
-        z[a + b < 6] = 0
-        best = np.argsort(-np.abs(z), kind="stable")[:MOST_WORDS]
-        self.words = np.sort(u[best[np.abs(z[best]) >= MIN_Z]])
+        a, n = np.bincount(inverse, positive, len(u)), np.bincount(inverse, minlength=len(u))
+        share = np.clip(y[use].mean(), 1e-6, 1 - 1e-6)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            g = np.nan_to_num(a * np.log(a / (n * share))) + np.nan_to_num((n - a) * np.log((n - a) / (n * (1 - share))))
+        z = np.sqrt(2 * np.maximum(g, 0))
+        best = np.argsort(-z, kind="stable")[:MOST_WORDS]
+        self.words = np.sort(u[best[z[best] >= MIN_Z]])
         self.cuts = np.quantile(rows.figures[use], np.linspace(0, 1, BINS + 1)[1:-1], axis=0)
         self.bits = np.zeros(1 << 16, bool)
         self.bits[self.words >> np.uint64(48)] = True
@@ -294,6 +297,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     figures = np.array([np.frombuffer(x, np.float64) for x in r["figures"]]).reshape(n, -1)
     chars = np.array([-1 if x is None else x for x in r["n_chars"]], np.int64)
     data = Rows(np.concatenate(words) if n else np.zeros(0, np.uint64), np.repeat(np.arange(n), [len(x) for x in words]), figures, r["source"], r["lang"], chars)
+    seen: set[bytes] = set()
+    data.first = np.array([not (x in seen or seen.add(x)) for x in r["words"]], bool)
     held = np.array([x % 5 == 0 for x in r["fold"]], bool)
     made = []
     for target in ("quality", "toxic"):
