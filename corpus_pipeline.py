@@ -1,14 +1,67 @@
-"""The training-corpus pipeline. Stages are added as their operators land."""
+"""The training-corpus pipeline: quality, near-duplicates, repeated passages, benchmark passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; between stages the result is written
+as Parquet to the shared folder and read again. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import common
+from quern.llm.decontaminate import decontaminate
+from quern.llm.packing import pack
+from quern.llm.quality import keep_good, train
+from quern.llm.queries import tokenizer_json
+from quern.llm.simhash import drop_near_duplicates
+from quern.llm.substring_dedup import remove_repeats
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifiers reject go."""
+    return keep_good(docs, train(docs, common.table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: five-word shingles, similarity of 0.8 or more."""
+    return drop_near_duplicates(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A passage that occurs again stays where it occurs first; lengths follow the texts."""
+    left = remove_repeats(docs)
+    return left.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("long")))
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of the benchmark go."""
+    return decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, as pieces of sequences of 4096 tokens."""
+    return pack(docs, tokenizer_json())
+
 
-STAGES: list = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("SimHash near-dedup", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_passages),
+    ("packing", packing),
+]
 
-#: No SQL can express the learned classifier or the tokenizer, so the tests hold run() against brute force.
+#: SQL can express neither the learned classifier nor the tokenizer; tests hold run() against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = common.table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = common.materialise(docs, f"stage-{k + 1}")
+    return docs

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .bytewords import IS_SOLID, Words, chunks, column_bytes, words
+from .bytewords import IS_SOLID, Words, chunks, column_bytes, mix, words
 from .graph import Forest, components
 
 #: Fingerprints of one key that a task compares; more are split.
@@ -138,8 +138,11 @@ class Level:
         return Level(mask, ones & mask, self.group[starts]), np.append(starts, n)
 
 
-def search(fp: np.ndarray, group: np.ndarray, distance: int, step: int = 1 << 18) -> Forest:
-    """Links codes of one group within the distance. Rows are sorted by group and Gray rank within it."""
+def search(fp: np.ndarray, group: np.ndarray, distance: int, more: list[tuple[np.ndarray, int]] | None = None, step: int = 1 << 18) -> Forest:
+    """Links codes of one group within the distance. Rows are sorted by group and Gray rank within it.
+
+    more: further codes of each row with limits of their own that a link must keep to as well.
+    """
     forest = Forest(len(fp))
     levels, children = [Level(np.full(len(fp), ~np.uint64(0)), fp, group)], []
     while len(levels[-1].group) and (levels[-1].group[1:] == levels[-1].group[:-1]).any() and len(levels) < 6:
@@ -156,6 +159,9 @@ def search(fp: np.ndarray, group: np.ndarray, distance: int, step: int = 1 << 18
         near = acc <= distance
         i, j, acc, mask = i[near], j[near], acc[near], shared[near]
         if k == 0:
+            for code, limit in more or ():
+                near = np.bitwise_count(code[i] ^ code[j]) <= limit
+                i, j = i[near], j[near]
             forest.join(i, j)
             return
         edges = children[k - 1]
@@ -181,21 +187,23 @@ def search(fp: np.ndarray, group: np.ndarray, distance: int, step: int = 1 << 18
     return forest
 
 
-def _link(distance: int):
+def _link(distance: int, limits: list[int]):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    names = ["node", "fp", *(f"more{k}" for k in range(len(limits)))]
 
-    def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def links(key: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]).any(axis=1)
         size = np.diff(np.append(np.flatnonzero(new), len(key)))
         group = np.repeat(np.arange(len(size)), size)
         many = size[group] > 1
-        group, code = group[many], fp[many]
-        order = np.lexsort((gray_rank(code.view(np.uint64)), group))
-        group, code = group[order], code[order]
-        root = search(code.view(np.uint64), group, distance).label
+        group, codes = group[many], codes[many]
+        order = np.lexsort((gray_rank(codes[:, 1].view(np.uint64)), group))
+        group, codes = group[order], codes[order]
+        fp = [np.ascontiguousarray(codes[:, 1 + k]).view(np.uint64) for k in range(1 + len(limits))]
+        root = search(fp[0], group, distance, list(zip(fp[1:], limits, strict=True))).label
         at = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(code[at]), pa.array(code[root[at]])], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(codes[at, 0]), pa.array(codes[root[at], 0])], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -203,42 +211,109 @@ def _link(distance: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append((np.stack([b.column(c).to_numpy() for c in ("table", "key", "lo", "hi")], axis=1), b.column("fp").to_numpy()))
+            held.append(tuple(np.stack([b.column(c).to_numpy() for c in cols], axis=1) for cols in (["table", "key", "lo", "hi"], names)))
             rows += b.num_rows
             if rows >= 4 * HOT:  # whole groups only; the last one may go on
-                key, fp = np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held])
+                key, codes = np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held])
                 last = np.flatnonzero((key != key[-1]).any(axis=1))
                 cut = int(last[-1]) + 1 if len(last) else 0
                 if cut:
-                    yield links(key[:cut], fp[:cut])
-                held, rows = [(key[cut:], fp[cut:])], len(key) - cut
+                    yield links(key[:cut], codes[:cut])
+                held, rows = [(key[cut:], codes[cut:])], len(key) - cut
         if rows:
             yield links(np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held]))
 
     return run
 
 
-def links(codes: DataFrame, distance: int = 4, hot: int = HOT) -> DataFrame:
-    """codes: distinct longs in column fp, cheap to read twice. Links (a, b) that connect all codes within the distance."""
+def links(codes: DataFrame, distance: int = 4, limits: tuple[int, ...] = (), hot: int = HOT) -> DataFrame:
+    """Links (a, b) between nodes that connect all within the distance.
+
+    codes: longs node (distinct), fp, and more0, more1, ... with a limit each; cheap to read twice.
+    """
     spark = codes.sparkSession
     masks = key_masks(codes.count(), distance)
+    own = ["node", "fp", *(f"more{k}" for k in range(len(limits)))]
     keys = F.array(*[F.struct(F.lit(k).alias("table"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for k, m in enumerate(masks)])
-    dealt = codes.select("fp", F.explode(keys).alias("k")).select("fp", "k.table", "k.key")
+    dealt = codes.select(*own, F.explode(keys).alias("k")).select(*own, "k.table", "k.key")
     large = dealt.groupBy("table", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot)
     pieces = F.coalesce(F.ceil(F.col("n") / (hot // 2)), F.lit(1)).cast("int")
-    split = dealt.join(large, ["table", "key"], "left").withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"))
-    pairs = split.select("table", "key", "fp", "piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
-    rows = pairs.select("table", "key", F.least("piece", "other").alias("lo"), F.greatest("piece", "other").alias("hi"), "fp")
+    split = dealt.join(large, ["table", "key"], "left").withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    pairs = split.select("table", "key", *own, "piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+    rows = pairs.select("table", "key", F.least("piece", "other").alias("lo"), F.greatest("piece", "other").alias("hi"), *own)
     order = ["table", "key", "lo", "hi"]
-    return rows.repartition(common.n_partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_link(distance), "a long, b long")
+    return rows.repartition(common.n_partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_link(distance, list(limits)), "a long, b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """Per document: doc_id, fp, component_id (the least doc_id it can reach by links)."""
     found = common.materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     codes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    reach = components(links(common.materialise(codes.select("fp"), "codes"), distance))
+    reach = components(links(common.materialise(codes.select(F.col("fp").alias("node"), "fp"), "codes"), distance))
     nodes = codes.join(reach.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
     of = nodes.join(least, "label").select("fp", "component_id")
     return found.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Fingerprints of distinct runs of 1, 2 and 5 words, with the differences that two texts of Jaccard 0.8 over five-word
+#: shingles keep to (99 % of such pairs keep to all three); the first is the one that the index searches.
+LADDER = ((1, 8), (2, 12), (5, 16))
+
+
+def _ladder(shingles: tuple[int, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, edges = column_bytes(b.column("text"))
+            for lo, hi in chunks(edges):
+                n, found, same = hi - lo, [], None
+                for k in shingles:
+                    w, text, start, end, doc = shingle_spans(data[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo], k)
+                    h = hash_spans(text, start, end)
+                    if same is None:  # the words in order
+                        place = np.arange(len(w.doc)) - np.searchsorted(w.doc, w.doc)
+                        with np.errstate(over="ignore"):
+                            same = mix(np.bincount(w.doc, minlength=n).astype(np.uint64))
+                            np.add.at(same, w.doc, mix(w.hash + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+                    order = np.lexsort((h, doc))
+                    h, doc = h[order], doc[order]
+                    new = np.ones(len(h), bool)
+                    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                    found.append(majority(h[new], doc[new], n).view(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, n), b.column("row").slice(lo, n), pa.array(same.view(np.int64)), *(pa.array(x) for x in found)], ["doc_id", "row", "node", "fp", *(f"more{k}" for k in range(len(shingles) - 1))])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, ladder: tuple[tuple[int, int], ...] = LADDER, hot: int = 4096) -> DataFrame:
+    """Per document: doc_id, row (a hash of id and text), component_id, component_row, verified exactly.
+
+    The index links texts whose fingerprints keep to the ladder; inside what they connect, texts are compared by the
+    exact Jaccard coefficient of their word shingles (a text of fewer words is one shingle), and links at the threshold
+    or above give the components. Texts of equal words are one node throughout.
+    """
+    from .substring_dedup import verified_links
+
+    rows = common.text_only(docs, id_col, text_col).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    more = [f"more{k}" for k in range(len(ladder) - 1)]
+    kinds = "doc_id long, row long, node long, fp long" + "".join(f", {m} long" for m in more)
+    found = common.materialise(rows.mapInArrow(_ladder(tuple(k for k, _ in ladder)), kinds), "fingerprints")
+    codes = common.materialise(found.select("node", "fp", *more).dropDuplicates(["node"]), "codes")
+    near = components(links(codes, ladder[0][1], tuple(x for _, x in ladder[1:]), hot))
+    members = common.materialise(near.select(F.col("label").alias("key"), F.col("node").alias("text_hash")), "near")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    wanted = found.join(members.select(F.col("text_hash").alias("node")), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    lines = rows.select("row", "text").join(wanted, "row").groupBy(F.col("node").alias("text_hash")).agg(F.first(F.encode("text", "UTF-8")).alias("line"))
+    same = components(verified_links(members.join(sizes, "key"), lines, shingle, threshold, hot))
+    nodes = found.select("doc_id", "row", "node").join(same, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    first = nodes.groupBy("label").agg(F.min(place).alias("first"))
+    return nodes.join(first, "label").select("doc_id", "row", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("component_row"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents with all their columns, one of each group (the least id). Rows repeated with one id and text are one document."""
+    row = "__quern_row"
+    kept = near_duplicates(docs, id_col, text_col, **options).where("row = component_row").select(F.col("row").alias(row)).distinct()
+    numbered = docs.withColumn(row, F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))))
+    return numbered.dropDuplicates([row]).join(kept, row, "left_semi").select(*[numbered[c] for c in docs.columns])

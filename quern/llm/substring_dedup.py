@@ -168,12 +168,14 @@ def _texts(min_words: int):
 
 
 def shingle_sets(lines: list[bytes], shingle: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each line."""
+    """The sorted distinct shingle hashes of each line; one of fewer words is one shingle."""
     out = []
     for _, _, w in column_words(pa.array(lines, pa.binary()), IS_SOLID):
         at, h = w.ngrams(shingle)
         cut = np.searchsorted(w.doc[at], np.arange(w.n_docs + 1))
-        out += [np.unique(h[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        word = np.searchsorted(w.doc, np.arange(w.n_docs + 1))
+        for x, y, a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), word[:-1].tolist(), word[1:].tolist(), strict=True):
+            out.append(np.unique(h[x:y] if y > x else mix(w.hash[a:b] + np.arange(b - a, dtype=np.uint64)).sum(keepdims=True)))
     return out
 
 
@@ -235,6 +237,20 @@ def _verify(threshold: float, shingle: int):
     return run
 
 
+def verified_links(members: DataFrame, lines: DataFrame, shingle: int, threshold: float, hot: int = HOT) -> DataFrame:
+    """Links (a, b) that connect the texts of each group by exact Jaccard at the threshold or above.
+
+    members: key, text_hash, n (texts of the key); lines: text_hash, line (its bytes). Groups of over ``hot`` texts are
+    split into pieces that are compared two by two.
+    """
+    pieces = F.when(F.col("n") > hot, F.ceil(F.col("n") / (hot // 2)).cast("int")).otherwise(F.lit(1))
+    split = members.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("text_hash"), F.col("pieces")).cast("int"))
+    pairs = split.select("key", "text_hash", "piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+    groups = pairs.select("key", F.least("piece", "other").alias("lo"), F.greatest("piece", "other").alias("hi"), "text_hash").join(lines, "text_hash")
+    order = ["key", "lo", "hi"]
+    return groups.repartition(common.n_partitions(members.sparkSession), *order).sortWithinPartitions(*order, "text_hash").mapInArrow(_verify(threshold, shingle), "a long, b long")
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, shingle: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, hot: int = HOT) -> DataFrame:
     """One row per paragraph that occurs again somewhere, alike or nearly.
 
@@ -255,13 +271,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     wanted = met.select("text_hash").distinct()
     lines = only.mapInArrow(_texts(min_words), "text_hash long, line binary").join(wanted, "text_hash", "left_semi")
     lines = lines.groupBy("text_hash").agg(F.first("line").alias("line"))
-    pieces = F.ceil(F.col("n") / (hot // 2)).cast("int")
-    pieces = F.when(F.col("n") > hot, pieces).otherwise(F.lit(1))
-    split = met.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("text_hash"), F.col("pieces")).cast("int"))
-    pairs = split.select("key", "text_hash", "piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
-    groups = pairs.select("key", F.least("piece", "other").alias("lo"), F.greatest("piece", "other").alias("hi"), "text_hash").join(lines, "text_hash")
-    order = ["key", "lo", "hi"]
-    links = groups.repartition(n, *order).sortWithinPartitions(*order, "text_hash").mapInArrow(_verify(threshold, shingle), "a long, b long")
+    links = verified_links(met, lines, shingle, threshold, hot)
     reach = components(links).select(F.col("node").alias("text_hash"), "label")
     classed = places.join(reach, "text_hash", "left").withColumn("label", F.coalesce("label", "text_hash"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "paragraph")
