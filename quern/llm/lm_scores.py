@@ -29,7 +29,7 @@ from .bytewords import column_words
 
 ORDERS, ALPHA, MIN_COUNT = 3, 0.4, 2
 #: Text bytes of a block, at most (a longer text is a block of its own).
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -62,8 +62,11 @@ def _hashes(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         per = w.per_doc()
         count.append(per)
         place.append(np.arange(n) - np.repeat(np.cumsum(per) - per, per))
-    empty = [np.zeros(0, np.uint64)]
-    return [np.concatenate(p or empty) for p in parts], np.concatenate(count or [np.zeros(0, np.int64)]), np.concatenate(place or [np.zeros(0, np.int64)])
+    grams = []
+    for k in range(ORDERS):
+        grams.append(np.concatenate(parts[k] or [np.zeros(0, np.uint64)]))
+        parts[k].clear()
+    return grams, np.concatenate(count or [np.zeros(0, np.int64)]), np.concatenate(place or [np.zeros(0, np.int64)])
 
 
 def _pack(h: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
@@ -174,29 +177,40 @@ def _score(buckets: int, alpha: float):
         b = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(texts)).read_all().combine_chunks()
         b = b.to_batches()[0]
         grams, count, place = _hashes(b.column(1))
-        c: list[np.ndarray] = []
-        for k in range(ORDERS):
-            u, inverse = np.unique(grams[k], return_inverse=True)
-            grams[k] = u[:0]
-            got = np.concatenate(replies.get(k, [np.zeros(0, np.int64)]))
-            none = int(k > 0 and len(u) > 0 and u[0] == 0)
-            if len(got) + none != len(u):
+        n, c = len(place), []
+        for k in range(ORDERS):  # the arrays of one order at a time, as a block's are large
+            h, grams[k] = grams[k], None
+            order = np.argsort(h)
+            h = h[order]
+            new = np.empty(n, bool)
+            new[:1], new[1:] = True, h[1:] != h[:-1]
+            none = int(k > 0 and n > 0 and h[0] == 0)
+            del h
+            got = np.concatenate([np.zeros(none, np.int64), *replies.pop(k, [])])
+            if len(got) != int(new.sum()):
                 raise RuntimeError("the input changed between two readings: its n-grams differ from those counted")
-            c.append(np.concatenate([np.zeros(none, np.int64), got])[inverse])
-        n = len(place)
-        log_alpha = np.log10(alpha)
-        with np.errstate(divide="ignore"):
-            logs = [np.log10(x) for x in c]
-        before = [np.concatenate([np.zeros(min(1, n)), x[:-1]]) for x in logs]  # of the n-gram that ends one word earlier
-        score = logs[0].copy()
-        floor = np.ones(n, bool)  # scored by the words' own counts: a log N is still to come off
-        for k in range(1, ORDERS):
-            seen = c[k] > 0
-            score = np.where(seen, logs[k] - before[k - 1], score + np.where(place >= k, log_alpha, 0.0))
-            floor &= ~seen
+            own = np.empty(n, np.int64)
+            own[order] = np.repeat(got, np.diff(np.flatnonzero(new), append=n))
+            c.append(own)
+            del order, new, own
         of = np.repeat(np.arange(len(count)), count)
-        total = np.bincount(of, score, len(count)) if n else np.zeros(len(count))
-        floors = np.bincount(of[floor], minlength=len(count))
+        total, floors = np.zeros(len(count)), np.zeros(len(count), np.int64)
+        log_alpha = np.log10(alpha)
+        for lo in range(0, n, 1 << 20):
+            at = slice(lo, min(lo + (1 << 20), n))
+            before = slice(max(lo - 1, 0), at.stop - 1)  # the n-grams that end one word earlier
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = np.log10(c[0][at])
+                floor = np.ones(len(score), bool)  # scored by the words' own counts: a log N is still to come off
+                for k in range(1, ORDERS):
+                    prior = np.log10(c[k - 1][before])
+                    if len(prior) < len(score):
+                        prior = np.concatenate([[0.0], prior])
+                    seen = c[k][at] > 0
+                    score = np.where(seen, np.log10(c[k][at]) - prior, score + np.where(place[at] >= k, log_alpha, 0.0))
+                    floor &= ~seen
+            total += np.bincount(of[at], score, len(count))
+            floors += np.bincount(of[at][floor], minlength=len(count))
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(count.astype(np.int64)), pa.array(total.astype(np.float64)), pa.array(floors.astype(np.int64))], ["doc_id", "n_words", "log_sum", "n_floor"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
