@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import tables
 from ..registry import query
@@ -26,7 +27,7 @@ def fixed_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_chunks(tables.load(spark, sf_dir, "documents"), "doc_id", "text", 512).select("doc_id", "idx", "digest")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def entropy(text: pd.Series) -> pd.Series:
     """Shannon entropy of the printable ASCII characters, over 8; null without any."""
     out = []

@@ -301,6 +301,10 @@ def typed(dtype: str, c: Column) -> Column:
         return F.when(c.isNull(), value("null")).otherwise(value("b", b=c))
     if dtype in ("tinyint", "smallint", "int", "bigint", "float", "double") or dtype.startswith("decimal"):
         return F.when(c.isNull(), value("null")).otherwise(value("n", n=c))
+    if dtype == "variant":  # values of several types under one name: each has its own
+        kind = F.schema_of_variant(c)
+        number = kind.rlike("^(BIGINT|DOUBLE|DECIMAL)")
+        return F.when(c.isNull() | (kind == "VOID"), value("null")).when(number, value("n", n=F.try_variant_get(c, "$", "double"))).when(kind == "BOOLEAN", value("b", b=F.try_variant_get(c, "$", "boolean"))).otherwise(value("s", s=F.try_variant_get(c, "$", "string")))
     return F.when(c.isNull(), value("null")).otherwise(value("s", s=c))
 
 
@@ -349,18 +353,18 @@ def read_json(spark: SparkSession, path: str, given: JsonInput) -> DataFrame:
     """Objects as rows; other values as _1. A bad line fails the request."""
     whole = given.type == "DOCUMENT"
     raw = spark.read.text(path, wholetext=whole).where("trim(value) <> ''")
-    v = raw.select(F.parse_json("value").alias("v"))
+    v = raw.select(F.when(F.trim("value") != "", F.parse_json("value")).alias("v"))  # the optimiser may move the filter
     if whole:
         kind = F.schema_of_variant("v")
         many = v.where(F.startswith(kind, F.lit("ARRAY"))).select(F.explode(F.col("v").cast("array<variant>")).alias("v"))
         v = many.unionByName(v.where(~F.startswith(kind, F.lit("ARRAY"))))
-    text = v.select(F.to_json("v").alias("value"))
-    schema = spark.read.json(text.where("value like '{%'"), mode="FAILFAST").schema if not text.where("value like '{%'").isEmpty() else None
-    other = F.when(~F.startswith("value", F.lit("{")), F.col("value"))
-    cols = [F.from_json("value", schema)[f.name].alias(f.name) for f in schema.fields] if schema else []
-    if not text.where("value not like '{%'").isEmpty():
-        cols.append(other.alias("_1"))
-    return text.select(*cols, F.monotonically_increasing_id().alias(ROW))
+    is_object = F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))
+    found = v.where(is_object).agg(F.schema_of_variant_agg("v")).head()[0]
+    fields = found.replace("OBJECT<", "STRUCT<").replace("VOID", "STRING") if found and "<" in found and found != "OBJECT<>" else None
+    rows = v.select(F.when(is_object, F.from_json(F.to_json("v"), fields)).alias("o") if fields else F.lit(None).alias("o"), F.when(~is_object, F.col("v").cast("string")).alias("_1"), F.monotonically_increasing_id().alias(ROW))
+    names = [F.col(f"o.`{f.name}`").alias(f.name) for f in rows.schema["o"].dataType.fields] if fields else []
+    lone = not v.where(~is_object).isEmpty()
+    return rows.select(*names, *(["_1"] if lone or not names else []), ROW)
 
 
 def read_range(spark: SparkSession, path: str, r: ScanRange) -> DataFrame:
