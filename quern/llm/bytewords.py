@@ -78,7 +78,7 @@ def words(data: np.ndarray, edges: np.ndarray, is_word: np.ndarray = IS_WORD) ->
     """data: bytes of the texts, one after another; edges: where each begins, and the end."""
     n = len(data)
     low, w = LOWER[data], is_word[data]
-    inner = edges[(edges > 0) & (edges < n)]
+    inner = np.unique(edges[(edges > 0) & (edges < n)])  # empty texts begin where the next one does
     change = np.empty(n + 1, bool)
     change[0], change[n] = n > 0 and w[0], n > 0 and w[-1]
     change[1:n] = w[1:] != w[:-1]
