@@ -23,15 +23,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import Words, column_bytes, column_words
 
 #: Bounds of the rows that fitting takes.
-MAX_LABELLED, MAX_POOL = 16000, 4000
+MAX_LABELLED, MAX_POOL = 12000, 3000
 ROUNDS, PRECISION, MOST_WORDS, MIN_Z, BINS = 3, 0.98, 256, 3.5, 10
 
+#: How many figures ``surface`` gives.
+FIGURES = 11
+
 _B = np.arange(256)
 _UPPER = ((_B >= 65) & (_B <= 90)).astype(np.int64)
 _LETTER = (((_B >= 97) & (_B <= 122)) | (_B >= 128)).astype(np.int64) + _UPPER
@@ -101,18 +105,26 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*cols, pa.array([x.tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in figures], pa.binary())], ["fold", "source", "lang", "n_chars", "quality", "toxic", "words", "figures"])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0) -> np.ndarray:
-    """Newton's method; the first coefficient is the intercept, which isn't penalised."""
-    x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
-    beta = np.zeros(x.shape[1])
-    share = np.clip((weight * y).sum() / weight.sum(), 1e-6, 1 - 1e-6)
-    beta[0] = np.log(share / (1 - share))
-    ridge = np.full(x.shape[1], l2)
-    ridge[0] = 1e-9
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0, center: np.ndarray | None = None) -> np.ndarray:
+    """Newton's method; the first coefficient is the intercept. Rows are taken block by block.
+
+    The penalty draws to zero and leaves the intercept alone; with a center, it draws all coefficients there.
+    """
+    ridge = np.full(x.shape[1] + 1, l2)
+    if center is None:
+        center = np.zeros(len(ridge))
+        share = np.clip((weight * y).sum() / weight.sum(), 1e-6, 1 - 1e-6)
+        center[0] = np.log(share / (1 - share))
+        ridge[0] = 1e-9
+    beta = center.copy()
     for _ in range(12):
-        p = sigmoid(x @ beta)
-        grad = x.T @ (weight * (p - y)) + ridge * beta
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(ridge)
+        grad, h = ridge * (beta - center), np.diag(ridge)
+        for lo in range(0, len(x), 1024):
+            part = np.concatenate([np.ones((len(x[lo : lo + 1024]), 1)), x[lo : lo + 1024]], axis=1)
+            w = weight[lo : lo + 1024]
+            p = sigmoid(part @ beta)
+            grad += part.T @ (w * (p - y[lo : lo + 1024]))
+            h += (part * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ part
         step = np.linalg.solve(h, grad)
         beta -= step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-4:
@@ -220,7 +232,7 @@ class Classifier:
                 use = weight[:, v] > 0
                 view = Content(rows, use, np.where(use, target[:, v], 0)) if v == 0 else Metadata(rows, use)
                 x = view.matrix(rows)
-                beta = fit_logistic(x[use], target[use, v], weight[use, v])
+                beta = fit_logistic(x, np.where(use, target[:, v], 0), weight[:, v])
                 self.views.append((view, beta))
                 logits.append(x @ beta[1:] + beta[0])
             if turn == ROUNDS or not pool.any():
@@ -240,9 +252,12 @@ class Classifier:
             if not any(given):
                 break
         z = np.stack([x[held] for x in logits], axis=1)
-        self.scale = [fit_logistic(z[:, v : v + 1], y[held].astype(float), np.ones(len(z)), 0.1) for v in range(2)]
+        # drawn to the identity, and to the sum of two independent views' evidence, as few rows may be held out
+        one, yes = np.ones(len(z)), y[held].astype(float)
+        self.scale = [fit_logistic(z[:, v : v + 1], yes, one, 2.0, np.array([0.0, 1.0])) for v in range(2)]
         both = np.stack([logit(sigmoid(z[:, v] * self.scale[v][1] + self.scale[v][0])) for v in range(2)], axis=1)
-        self.blend = fit_logistic(both, y[held].astype(float), np.ones(len(z)), 0.1)
+        prior = float(logit(np.array([y[train].mean()]))[0])
+        self.blend = fit_logistic(both, yes, one, 2.0, np.array([-prior, 1.0, 1.0]))
 
     def score(self, rows: Rows) -> np.ndarray:
         """Probabilities: of the content view, the metadata view, and both combined."""
@@ -291,14 +306,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pool = rows.join(F.broadcast(ids.distinct()), "doc_id").select(*labelled.columns[:-3], F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"), "fold")
     kinds = "fold long, source string, lang string, n_chars long, quality int, toxic int, words binary, figures binary"
     got = labelled.unionByName(pool).mapInArrow(_features, kinds).orderBy("fold", "words").toArrow()
-    r = got.to_pydict()
-    words = [np.frombuffer(x, np.uint64) for x in r["words"]]
-    n = len(words)
-    figures = np.array([np.frombuffer(x, np.float64) for x in r["figures"]]).reshape(n, -1)
+    kept = got["words"].combine_chunks()
+    n = len(kept)
+    size = pc.binary_length(kept).to_numpy(zero_copy_only=False).astype(np.int64) // 8 if n else np.zeros(0, np.int64)
+    flat = np.frombuffer(kept.buffers()[2], np.uint64, int(size.sum())).copy() if n and size.sum() else np.zeros(0, np.uint64)
+    digests = [hash(x.as_py()) for x in kept]
+    r = got.drop_columns(["words"]).to_pydict()
+    del got, kept
+    figures = np.array([np.frombuffer(x, np.float64) for x in r["figures"]]).reshape(n, FIGURES)
     chars = np.array([-1 if x is None else x for x in r["n_chars"]], np.int64)
-    data = Rows(np.concatenate(words) if n else np.zeros(0, np.uint64), np.repeat(np.arange(n), [len(x) for x in words]), figures, r["source"], r["lang"], chars)
-    seen: set[bytes] = set()
-    data.first = np.array([not (x in seen or seen.add(x)) for x in r["words"]], bool)
+    data = Rows(flat, np.repeat(np.arange(n), size), figures, r["source"], r["lang"], chars)
+    seen: set[int] = set()
+    data.first = np.array([not (x in seen or seen.add(x)) for x in digests], bool)
     held = np.array([x % 5 == 0 for x in r["fold"]], bool)
     made = []
     for target in ("quality", "toxic"):
