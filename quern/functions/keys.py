@@ -1,9 +1,8 @@
 """Key and text functions as column expressions."""
 
-from __future__ import annotations
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import tables
 from ..registry import query
@@ -57,6 +56,18 @@ def humanise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.load(spark, sf_dir, "part").where("p_size < 45").select("p_partkey", humanise_bytes(F.pow(F.lit(2.0), F.col("p_size"))).alias("human"))
 
 
+def humanise_seconds(s: Column) -> Column:
+    """Whole seconds, minutes or hours, the two greatest of them."""
+    n = F.floor(s)
+    part = lambda x, unit: F.concat(F.floor(x).cast("string"), F.lit(unit))
+    return F.when(n < 60, part(n, "s")).when(n < 3600, F.concat_ws(" ", part(n / 60, "m"), part(n % 60, "s"))).otherwise(F.concat_ws(" ", part(n / 3600, "h"), part(n % 3600 / 60, "m")))
+
+
+@query("SELECT event_id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm ' || s % 60 || 's' ELSE s // 3600 || 'h ' || s % 3600 // 60 || 'm' END AS human FROM (SELECT event_id, CAST(floor(value * value * 2) AS BIGINT) AS s FROM events)")
+def humanise_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.load(spark, sf_dir, "events").select("event_id", humanise_seconds(F.floor(F.col("value") * F.col("value") * 2)).alias("human"))
+
+
 def glob_regex(pattern: str) -> str:
     """A policy glob as a pattern: * and ? are wild, only '.' is escaped, as the rule has it."""
     return "^" + pattern.replace(".", r"\.").replace("*", ".*").replace("?", ".") + "$"
@@ -85,6 +96,34 @@ def in_cidr(text: Column, cidr: str) -> Column:
     return F.shiftright(ipv4(text), keep) == (int(net.network_address) >> keep)
 
 
+def in_cidr_v6(cidr: str):
+    """A vectorised test of IPv6 addresses; what isn't one is outside. Addresses are too wide for integer columns."""
+    import pandas as pd
+
+    @F.pandas_udf(T.BooleanType())
+    def inside(text: pd.Series) -> pd.Series:
+        import ipaddress
+
+        net = ipaddress.ip_network(cidr, strict=False)
+
+        def one(x):
+            try:
+                return ipaddress.ip_address(x) in net
+            except ValueError:
+                return False
+
+        return text.map(one)
+
+    return inside
+
+
+@query("SELECT event_id FROM events WHERE event_id % 65536 < 4096 AND user_id % 2 = 0")
+def cidr_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 65536
+    ip = F.concat(F.when(F.col("user_id") % 2 == 0, "2001:db8:7:").otherwise("2001:db8:8:"), F.lower(F.hex(k)), F.lit("::1"))
+    return tables.load(spark, sf_dir, "events").where(in_cidr_v6("2001:db8:7::/52")(ip)).select("event_id")
+
+
 @query("SELECT event_id FROM (SELECT event_id, (user_id % 256) AS a, (event_id % 256) AS b FROM events) WHERE ((10::BIGINT << 24) + (a << 16) + (b << 8) + 7) >> 14 = ((10::BIGINT << 24) + (64 << 16)) >> 14")
 def cidr_v4(spark: SparkSession, sf_dir: str) -> DataFrame:
     ip = F.concat_ws(".", F.lit("10"), F.col("user_id") % 256, F.col("event_id") % 256, F.lit("7"))

@@ -269,19 +269,6 @@ def classify_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.load(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", content_class(F.substring("text", 1, 64), r).alias("class"))
 
 
-def merkle_levels(leaves: DataFrame, key: str, n_max: int) -> DataFrame:
-    """(key, root): pairs are hashed together, an odd one with itself, round by round; n_max bounds the rounds."""
-    level, width = leaves.select(key, F.col("idx").cast("long").alias("idx"), "digest"), n_max
-    while width > 1:
-        pair = level.groupBy(key, F.expr("idx div 2").alias("idx")).agg(F.min_by("digest", level["idx"]).alias("a"), F.max_by("digest", level["idx"]).alias("b"), F.count("*").alias("n"), F.max("idx").alias("last"))
-        # an inner node that is alone at the end pairs with itself; a whole tree of one node is the root
-        top = pair.withColumn("digest", F.sha2(F.concat("a", "b"), 256))
-        sizes = level.groupBy(key).agg(F.count("*").alias("size"))
-        level = top.join(sizes, key).select(key, "idx", F.when(F.col("size") == 1, F.col("a")).otherwise(F.col("digest")).alias("digest"))
-        width = -(-width // 2)
-    return level.select(key, F.col("digest").alias("root"))
-
-
 @query("""WITH RECURSIVE t AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS idx, sha256(l_partkey || ':' || l_linenumber) AS d FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem)),
 l AS (SELECT k, list(d ORDER BY idx) AS ds FROM t GROUP BY 1), r AS (SELECT k, ds FROM l UNION ALL SELECT k, list_transform(generate_series(1, len(ds), 2), lambda i: sha256(ds[i] || coalesce(ds[i + 1], ds[i]))) FROM r WHERE len(ds) > 1)
 SELECT k AS l_orderkey, ds[1] AS root FROM r WHERE len(ds) = 1""")
