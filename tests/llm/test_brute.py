@@ -18,7 +18,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from quern.llm import media, simhash
+from quern.llm import licenses, media, simhash
 from quern.llm.bytewords import column_words
 from quern.llm.html_text import main_text
 from quern.llm.lm_scores import _pack, _unpack
@@ -301,3 +301,14 @@ def test_pipeline(spark, sf_dir, texts):
         assert hit == (i not in clean)
     run = corpus_pipeline.run(spark, sf_dir).collect()
     assert sum(r["length"] for r in run) == sum(len(TABLE.ids(c["text"])) + 1 for c in clean.values())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from(sorted(licenses.TEMPLATES)), st.integers(0, 10**6), st.floats(0, 0.3))
+def test_anchor_words_lose_no_match(name, seed, rate):
+    rng = np.random.default_rng(seed)
+    words = re.sub("[^a-z0-9]+", " ", licenses.TEMPLATES[name].lower()).split()
+    unit = [w for w in (x if rng.random() > rate / 2 else f"x{rng.integers(9)}" for x in words) if rng.random() > rate / 2]
+    a, b = set(zip(words, words[1:], strict=False)), set(zip(unit, unit[1:], strict=False))
+    if a and b and 2 * len(a & b) / (len(a) + len(b)) >= 0.8:
+        assert set(unit) & set(licenses.anchors(licenses.TEMPLATES, 0.8))
