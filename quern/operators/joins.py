@@ -162,7 +162,7 @@ def scope_of_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {R}, {E}, x AS (SELECT chunk, edge, row_number() OVER (PARTITION BY chunk ORDER BY rtt_us, edge) AS rank, count(*) OVER (PARTITION BY chunk) AS n FROM replicas JOIN edges USING (edge) WHERE online)
-SELECT chunk, edge, rank FROM x WHERE rank <= 2 AND n >= 2""")
+SELECT chunk, edge, CAST(rank AS INTEGER) AS rank FROM x WHERE rank <= 2 AND n >= 2""")
 def shard_read_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The k nearest healthy places of each chunk that has k."""
     return read_plan(tables.replicas(spark, sf_dir).join(tables.edges(spark, sf_dir).where("online"), "edge"), 2)
