@@ -3,7 +3,7 @@
 Units of a document are its lines, its paragraphs (parted by blank lines) and the whole text. Words are runs of a-z and
 0-9 after lower-casing; a unit's bigrams are distinct. A template is a candidate only if the unit's number of bigrams
 lies in the bounds within which the coefficient can reach the threshold at all: t/(2-t) to (2-t)/t times its own.
-Bigrams are looked up in a broadcast table of the templates' bigrams, a constant of this module; only hits are grouped.
+Texts without any of the anchor words, one of which every match must have, are left out first by one pattern. Bigrams are looked up in a broadcast table of the templates' bigrams, a constant of this module; only hits are grouped.
 
 Nulls: a null text has no units; a null doc_id is a group of its own. Repeated rows give one finding. Ties between
 templates stay: every template over the threshold is returned. Documents without a finding have no row; an empty table
@@ -12,6 +12,10 @@ gives an empty result. Further columns are ignored. Texts are scanned whole.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +61,29 @@ def template_bigrams(spark: SparkSession, templates: dict[str, str]) -> DataFram
     return table.select(F.explode("b").alias("bigram"), "license", F.size("b").alias("t_size"))
 
 
+#: Words too common to anchor a search.
+COMMON = frozenset("a all an and any are as at be by can do for from has have if in is it may more not of on one only or other such than that the these this to under use was with without you your".split())
+
+
+def anchors(templates: dict[str, str], threshold: float) -> list[str]:
+    """Words of which every unit that can reach the threshold has at least one.
+
+    Such a unit shares at least t/(2-t) of a template's bigrams; words are chosen, the most covering first, until the
+    bigrams without any of them are fewer than that.
+    """
+    out: set[str] = set()
+    for notice in templates.values():
+        words = re.sub("[^a-z0-9]+", " ", notice.lower()).split()
+        left = set(zip(words, words[1:], strict=False))
+        need = math.ceil(threshold / (2 - threshold) * len(left) - 1e-9)
+        while len(left) >= max(need, 1):
+            count = Counter(w for pair in left for w in set(pair))
+            best = min(count, key=lambda w: (w in COMMON or len(w) < 2, w not in out, -count[w], w))
+            out.add(best)
+            left = {pair for pair in left if best not in pair}
+    return sorted(out)
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> DataFrame:
     """Per document and template over the threshold: doc_id, license, dice (the best unit's), n_units (units over it)."""
     spark = docs.sparkSession
@@ -64,6 +91,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sizes = found.agg(F.min("t_size"), F.max("t_size")).head()
     text = F.coalesce(F.col(text_col), F.lit(""))
+    known = anchors(TEMPLATES if templates is None else templates, threshold)
+    docs = docs.where(F.lower(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(known)})(?![a-z0-9])"))
     units = F.array_distinct(F.concat(F.split(text, r"\r?\n"), F.split(text, r"\n[ \t\r]*\n"), F.array(text)))
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(units).alias("unit", "line"))
     words = lines.select("doc_id", "row", "unit", word_list(F.col("line")).alias("w"))
