@@ -29,7 +29,7 @@ from .bytewords import column_words
 
 ORDERS, ALPHA, MIN_COUNT = 3, 0.4, 2
 #: Text bytes of a block, at most (a longer text is a block of its own).
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 22 << 20
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -61,12 +61,12 @@ def _hashes(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
             parts[k].append(h)
         per = w.per_doc()
         count.append(per)
-        place.append(np.arange(n) - np.repeat(np.cumsum(per) - per, per))
+        place.append(np.minimum(np.arange(n) - np.repeat(np.cumsum(per) - per, per), ORDERS).astype(np.int8))  # beyond the order it's all one
     grams = []
     for k in range(ORDERS):
         grams.append(np.concatenate(parts[k] or [np.zeros(0, np.uint64)]))
         parts[k].clear()
-    return grams, np.concatenate(count or [np.zeros(0, np.int64)]), np.concatenate(place or [np.zeros(0, np.int64)])
+    return grams, np.concatenate(count or [np.zeros(0, np.int64)]), np.concatenate(place or [np.zeros(0, np.int32)])
 
 
 def _pack(h: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
@@ -136,11 +136,13 @@ def _count(buckets: int, min_count: int):
             total[total < min_count] = 0
         back = np.empty(len(h), np.int64)
         back[order] = np.repeat(total, np.diff(first, append=len(h)))
-        z, at, out = zstandard.ZstdCompressor(level=1), 0, []
+        z, at, out, sizes = zstandard.ZstdCompressor(level=1), 0, [], []
         for x, _ in got:
-            out.append(z.compress(back[at : at + len(x)].tobytes()))
+            part_counts = back[at : at + len(x)]
+            out.append(z.compress(part_counts.astype("<u4" if part_counts.max(initial=0) < 1 << 32 else "<u8").tobytes()))
+            sizes.append(len(x))
             at += len(x)
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int64()), pa.array(out, pa.binary())], ["block", "part", "data"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], ["block", "part", "n", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
@@ -165,7 +167,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, b.schema) as w:
             w.write_batch(b)
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int64()), pa.array([z.compress(sink.getvalue())], pa.binary())], ["block", "part", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int64()), pa.array([b.num_rows], pa.int64()), pa.array([z.compress(sink.getvalue())], pa.binary())], ["block", "part", "n", "data"])
 
 
 def _score(buckets: int, alpha: float):
@@ -186,14 +188,14 @@ def _score(buckets: int, alpha: float):
             new[:1], new[1:] = True, h[1:] != h[:-1]
             none = int(k > 0 and n > 0 and h[0] == 0)
             del h
-            got = np.concatenate([np.zeros(none, np.int64), *replies.pop(k, [])])
+            got = np.concatenate([np.zeros(none, np.uint32), *replies.pop(k, [])])
             if len(got) != int(new.sum()):
                 raise RuntimeError("the input changed between two readings: its n-grams differ from those counted")
-            own = np.empty(n, np.int64)
+            own = np.empty(n, got.dtype)
             own[order] = np.repeat(got, np.diff(np.flatnonzero(new), append=n))
             c.append(own)
             del order, new, own
-        of = np.repeat(np.arange(len(count)), count)
+        of = np.repeat(np.arange(len(count), dtype=np.int32), count)
         total, floors = np.zeros(len(count)), np.zeros(len(count), np.int64)
         log_alpha = np.log10(alpha)
         for lo in range(0, n, 1 << 20):
@@ -219,13 +221,14 @@ def _score(buckets: int, alpha: float):
         z = zstandard.ZstdDecompressor()
         texts, replies = None, {}
         for b in batches:
-            for _, part, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for _, part, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if part < 0:
                     if texts is not None:
                         yield block(texts, replies)
                     texts, replies = data, {}
                 else:
-                    replies.setdefault(part // buckets, []).append(np.frombuffer(z.decompress(data), np.int64))
+                    raw = z.decompress(data)
+                    replies.setdefault(part // buckets, []).append(np.frombuffer(raw, "<u4" if len(raw) == 4 * n else "<u8"))
         if texts is not None:
             yield block(texts, replies)
 
@@ -239,8 +242,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a
     # the input's own partition number: the task's differs between the two readings, as one stands in a union
     texts = common.text_only(docs, id_col, text_col).select("doc_id", "text", F.spark_partition_id().alias("partition"))
     sent = texts.mapInArrow(_send(n), "block long, part long, hashes binary, counts binary")
-    counted = sent.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(_count(n, min_count), "block long, part long, data binary")
-    both = counted.unionByName(texts.mapInArrow(_texts, "block long, part long, data binary"))
+    counted = sent.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(_count(n, min_count), "block long, part long, n long, data binary")
+    both = counted.unionByName(texts.mapInArrow(_texts, "block long, part long, n long, data binary"))
     scored = both.repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(_score(n, alpha), "doc_id long, n_words long, log_sum double, n_floor long")
     kept = common.materialise(scored, "lm-scores")
     total = kept.agg(F.coalesce(F.sum("n_words"), F.lit(0))).head()[0]
