@@ -45,8 +45,10 @@ HINTS = frozenset(
     " nav navi navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs sidebar sidebars aside rail footer foot footnav header masthead topbar"
     " comment comments commentlist discussion discuss disqus replies respond responses reactions related recommended recommendations trending popular teaser teasers"
     " share sharing social follow subscribe subscription newsletter signup login signin register cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall"
-    " search pagination pager paging toolbar widget widgets copyright legal disclaimer skip hidden complementary contentinfo form tags tagcloud".split()
+    " search pagination pager paging toolbar widget widgets copyright legal disclaimer skip hidden complementary contentinfo form dialog tags tagcloud".split()
 )
+NOT_ITSELF = frozenset("no non not has have with without is".split())
+OF_ARTICLE = frozenset("article post entry story content".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SIBLINGS = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "tbody": ("thead tbody tr td th", ("table",)), "option": ("option", ("select",))}
 
@@ -60,8 +62,13 @@ def _is_boilerplate(name: str, attributes: str, in_article: bool) -> bool:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
             return True
-        if key in ("class", "id", "role") and not HINTS.isdisjoint(_WORD.findall(_CAMEL.sub(" ", value).lower())):
-            return True
+        if key in ("class", "id", "role"):
+            for name_ in value.split():
+                said = _WORD.findall(_CAMEL.sub(" ", name_).lower())
+                for before, word in zip(["", *said], said, strict=False):
+                    # "no-sidebar", "has-comments" tell about the page; a header of the article belongs to it
+                    if word in HINTS and before not in NOT_ITSELF and not (word == "header" and (in_article or not OF_ARTICLE.isdisjoint(said))):
+                        return True
     return False
 
 
@@ -176,8 +183,16 @@ def main_text(page: str | None) -> str:
     container = max((p for p, x in weight.items() if x >= 0.8 * total), key=len)
     while container and container[-1].split(".")[0] in HEADINGS | {"p", "li", "ul", "ol", "blockquote", "pre", "dl", "dd", "dt", "td", "tr", "th", "tbody", "table", "figcaption"}:
         container = container[:-1]
-    n = len(container)
-    keep = [text for path, text, links, _ in found if path[:n] == container and (path in content or 2 * links <= len(text))]
+    n, began, keep = len(container), False, []
+    for path, text, links, _ in found:
+        if path[:n] == container:
+            began = True
+            if path in content or 2 * links <= len(text):
+                keep.append(text)
+        elif not began and n and path[-1:] and path[-1].split(".")[0] in ("h1", "h2"):
+            # the article's title may stand beside its body, or before it in a part of its own
+            if path[:-1] == container[:-1] or not OF_ARTICLE.isdisjoint(_WORD.findall(" ".join(path[n - 1 : -1]).lower())):
+                keep.append(text)
     return " ".join(keep)
 
 

@@ -235,6 +235,21 @@ def test_boilerplate():
     assert main_text(BOILERPLATE) == "The title First étude, a bolder one. It goes on, as it must. A quote, with marks. Second paragraph; the last, in fact."
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<body class="has-sidebar no-comments"><div class="post-header"><h1>A title</h1></div><div class="entry"><p>Text, and more.</p></div><div id="commentList"><p>Me too, I say.</p></div>', "A title Text, and more."),
+        ('<div role="navigation">Go, there.</div><main><p>Body, here.</p><p hidden>Secret, this.</p><p style="display: none">No, not.</p></main>', "Body, here."),
+        ("<table><tr><td>One, cell<td>two, cells<tr><td>three, so</table>", "One, cell two, cells three, so"),
+        ("<p>a<br>b  \n c&nbsp;d</p><p>in<i>li</i>ne &lt;b&gt; &#233;", "a b c d inline <b> é"),
+        ('<div class="related"><h3>More</h3><a href="x">Link one, here</a></div><p>Alone, it is.</p><!-- open comment <p>gone', "Alone, it is."),
+        ('<head><title>x</title><body><p title="a > b">Quoted, well.</p><script>var s = "<p>no</p>";', "Quoted, well."),
+    ],
+)
+def test_layouts(page, want):
+    assert main_text(page) == want
+
+
 def chunk(kind, data):
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
