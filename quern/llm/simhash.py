@@ -257,8 +257,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 #: Fingerprints of distinct runs of 1, 2 and 5 words, with the differences that two texts of Jaccard 0.8 over five-word
-#: shingles keep to (99 % of such pairs keep to all three); the first is the one that the index searches.
-LADDER = ((1, 8), (2, 12), (5, 16))
+#: shingles keep to (99.5 % of such pairs keep to all three here); the first is the one that the index searches.
+LADDER = ((1, 9), (2, 13), (5, 17))
 
 
 def _ladder(shingles: tuple[int, ...]):
@@ -266,15 +266,17 @@ def _ladder(shingles: tuple[int, ...]):
         for b in batches:
             data, edges = column_bytes(b.column("text"))
             for lo, hi in chunks(edges):
-                n, found, same = hi - lo, [], None
+                n, found = hi - lo, []
+                w = words(data[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo], IS_SOLID)
+                count = w.per_doc()
+                place = np.arange(len(w.doc)) - np.repeat(np.cumsum(count) - count, count)
+                with np.errstate(over="ignore"):  # the words in order
+                    same = mix(count.astype(np.uint64))
+                    np.add.at(same, w.doc, mix(w.hash + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
                 for k in shingles:
-                    w, text, start, end, doc = shingle_spans(data[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo], k)
-                    h = hash_spans(text, start, end)
-                    if same is None:  # the words in order
-                        place = np.arange(len(w.doc)) - np.searchsorted(w.doc, w.doc)
-                        with np.errstate(over="ignore"):
-                            same = mix(np.bincount(w.doc, minlength=n).astype(np.uint64))
-                            np.add.at(same, w.doc, mix(w.hash + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+                    at, h = w.ngrams(k)
+                    short = np.flatnonzero((count > 0) & (count < k))
+                    h, doc = np.concatenate([h, same[short]]), np.concatenate([w.doc[at], short])
                     order = np.lexsort((h, doc))
                     h, doc = h[order], doc[order]
                     new = np.ones(len(h), bool)
