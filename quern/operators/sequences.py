@@ -197,19 +197,21 @@ def version_supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ancestors(nodes: DataFrame, node: str, parent: str, starts: DataFrame) -> DataFrame:
-    """(start, node, depth) of every ancestor up to the roots. Steps double: paths of 2^k are joined to themselves."""
-    up = nodes.where(F.col(parent).isNotNull()).select(F.col(node).alias("a"), F.col(parent).alias("b"))
-    reach = starts.select(F.col(node).alias("start"), F.col(node).alias("node"), F.lit(0).alias("depth"))
-    depth = 0
-    jump = up
+    """(start, node, depth) of every ancestor up to the roots, in as many rounds as the depth has bits.
+
+    Paths of 2^k steps are joined to themselves; each round is written, so plans don't grow with the depth.
+    """
+    jump = tables.written(nodes.where(F.col(parent).isNotNull()).select(F.col(node).alias("a"), F.col(parent).alias("b")), "paths")
+    reach = tables.written(starts.select(F.col(node).alias("start"), F.col(node).alias("node"), F.lit(0).alias("depth")), "reached")
+    bit = 0
     while True:
-        step = reach.join(jump, reach["node"] == jump["a"]).select("start", F.col("b").alias("node"), (F.col("depth") + (1 << depth)).alias("depth"))
+        step = tables.written(reach.join(jump, reach["node"] == jump["a"]).select("start", F.col("b").alias("node"), (F.col("depth") + (1 << bit)).alias("depth")), "step")
         if step.isEmpty():
             return reach
-        reach = reach.unionByName(step)
+        reach = tables.written(reach.unionByName(step), "reached")
         left, right = jump.alias("l"), jump.alias("r")
-        jump = left.join(right, F.col("l.b") == F.col("r.a")).select(F.col("l.a").alias("a"), F.col("r.b").alias("b"))
-        depth += 1
+        jump = tables.written(left.join(right, F.col("l.b") == F.col("r.a")).select(F.col("l.a").alias("a"), F.col("r.b").alias("b")), "paths")
+        bit += 1
 
 
 @query("""WITH RECURSIVE n AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN turn > (SELECT min(turn) FROM conversations c WHERE c.conv_id = x.conv_id) THEN conv_id * 1000 + turn - 1 END AS parent FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn < 1000) x),
