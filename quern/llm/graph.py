@@ -42,7 +42,9 @@ def components(links: DataFrame) -> DataFrame:
         common.discard(edges)
         edges = step
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return nodes.unionByName(nodes.select(F.col("label").alias("node"), "label").distinct())
+    out = nodes.unionByName(nodes.select(F.col("label").alias("node"), "label").distinct())
+    out.__dict__["quern_path"] = edges.__dict__["quern_path"]  # for discard, once nothing reads it
+    return out
 
 
 class Forest:

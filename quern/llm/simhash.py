@@ -249,7 +249,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Per document: doc_id, fp, component_id (the least doc_id it can reach by links)."""
     found = common.materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     codes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    reach = components(links(common.materialise(codes.select(F.col("fp").alias("node"), "fp"), "codes"), distance))
+    written = common.materialise(codes.select(F.col("fp").alias("node"), "fp"), "codes")
+    reach = components(links(written, distance))
+    common.discard(written)  # the components are written by now
     nodes = codes.join(reach.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
     of = nodes.join(least, "label").select("fp", "component_id")
@@ -302,11 +304,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = common.materialise(rows.mapInArrow(_ladder(tuple(k for k, _ in ladder)), kinds), "fingerprints")
     codes = common.materialise(found.select("node", "fp", *more).dropDuplicates(["node"]), "codes")
     near = components(links(codes, ladder[0][1], tuple(x for _, x in ladder[1:]), hot))
+    common.discard(codes)
     members = common.materialise(near.select(F.col("label").alias("key"), F.col("node").alias("text_hash")), "near")
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
     wanted = found.join(members.select(F.col("text_hash").alias("node")), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
     lines = rows.select("row", "text").join(wanted, "row").groupBy(F.col("node").alias("text_hash")).agg(F.first(F.encode("text", "UTF-8")).alias("line"))
     same = components(verified_links(members.join(sizes, "key"), lines, shingle, threshold, hot))
+    common.discard(members)
+    common.discard(near)
     nodes = found.select("doc_id", "row", "node").join(same, "node", "left").withColumn("label", F.coalesce("label", "node"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     first = nodes.groupBy("label").agg(F.min(place).alias("first"))

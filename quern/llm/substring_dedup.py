@@ -265,7 +265,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     bands, rows = tune(threshold, recall)
     keys = only.mapInArrow(_bands(min_words, shingle, bands, rows), "key long, text_hash long")
     met = keys.repartition(n, "key").sortWithinPartitions("key", "text_hash").mapInArrow(_meeting, "key long, text_hash long, set long, n long")
-    met = common.materialise(met, "meeting")
+    met = written = common.materialise(met, "meeting")
     once = met.groupBy("set").agg(F.min("key").alias("key"))  # a set of texts that meets in several bands is compared once
     met = met.join(once, ["set", "key"]).select("key", "text_hash", "n")
     wanted = met.select("text_hash").distinct()
@@ -273,6 +273,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     lines = lines.groupBy("text_hash").agg(F.first("line").alias("line"))
     links = verified_links(met, lines, shingle, threshold, hot)
     reach = components(links).select(F.col("node").alias("text_hash"), "label")
+    common.discard(written)  # the components are written by now
     classed = places.join(reach, "text_hash", "left").withColumn("label", F.coalesce("label", "text_hash"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "paragraph")
     first = classed.groupBy("label").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first != final")
