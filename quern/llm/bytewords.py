@@ -20,7 +20,7 @@ IS_SOLID = ~((_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13)))
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _MASK = (1 << 64) - 1
 #: Texts are worked on in pieces of about this many bytes (always whole texts), so arrays stay small.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 _tables: dict[str, np.ndarray] = {}
 
 

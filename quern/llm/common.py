@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,43 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@functools.cache
+def _libc():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def lean(run):
+    """Wraps a function from Arrow batches to Arrow batches: what a batch took goes back to the system before the next.
+
+    Executors share their memory between the JVM and several Python workers, which otherwise keep the most they ever held.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        import pyarrow as pa
+
+        def trim():
+            pa.default_memory_pool().release_unused()
+            if _libc():
+                _libc().malloc_trim(0)
+
+        def feed():
+            for b in batches:
+                yield b
+                del b
+                trim()
+
+        yield from run(feed())
+        trim()
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

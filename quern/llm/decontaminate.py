@@ -87,6 +87,7 @@ def _spans(w: Words, hit: np.ndarray) -> dict[int, list[tuple[int, int]]]:
 
 
 def _scan(blocks):
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = blocks.value
         for b in batches:
@@ -110,6 +111,7 @@ def _scan(blocks):
 
 
 def _remove(blocks, text_col: str, spans_only: bool):
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = blocks.value
         for b in batches:
@@ -167,6 +169,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return rows.join(merged, "row", "left").select("doc_id", "text", "items", "spans").mapInArrow(_merged_hits, HITS)
 
 
+@common.lean
 def _merged_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts hit words of the united spans of several blocks."""
     for b in batches:

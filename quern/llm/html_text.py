@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|textarea|title)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
@@ -196,6 +198,7 @@ def main_text(page: str | None) -> str:
     return " ".join(keep)
 
 
+@common.lean
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo in range(0, b.num_rows, 1000):

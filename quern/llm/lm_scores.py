@@ -101,6 +101,7 @@ def _edges(buckets: int) -> np.ndarray:
 
 
 def _send(buckets: int):
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = _edges(buckets)
         for block, b in _blocks(batches):
@@ -144,6 +145,7 @@ def _count(buckets: int, min_count: int):
             at += len(x)
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], ["block", "part", "n", "data"])
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
         for b in batches:
@@ -159,6 +161,7 @@ def _count(buckets: int, min_count: int):
     return run
 
 
+@common.lean
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
@@ -215,6 +218,7 @@ def _score(buckets: int, alpha: float):
             floors += np.bincount(of[at][floor], minlength=len(count))
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(count.astype(np.int64)), pa.array(total.astype(np.float64)), pa.array(floors.astype(np.int64))], ["doc_id", "n_words", "log_sum", "n_floor"])
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 

@@ -236,6 +236,7 @@ def wav_data(d: bytes, at: int) -> tuple[int, int, str]:
     return 0, 0, what
 
 
+@common.lean
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out, held = [], 0
@@ -261,6 +262,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return common.text_only(docs, id_col, text_col).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
+@common.lean
 def _sniff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     magic = automaton()
     for b in batches:

@@ -133,6 +133,7 @@ def windows(sizes: np.ndarray, capacity: int = CAPACITY, cut: bool = True) -> li
 def _pack(tokenizer, end_id: int, capacity: int, unit_windows: int):
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = PieceTable(Pretokenizer(tokenizer.value))
         end = np.array([end_id], np.uint32)

@@ -27,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .bytewords import Words, column_bytes, column_words
 
 #: Bounds of the rows that fitting takes.
@@ -93,6 +94,7 @@ def surface(data: np.ndarray, w: Words) -> np.ndarray:
     )
 
 
+@common.lean
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, edges = column_bytes(b.column("text"))
@@ -349,6 +351,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """Per document: doc_id, the probabilities of quality and toxicity (both combined, and the content view's), keep."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand numbers
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, p, t in _scored(b, sent.value):
@@ -367,6 +370,7 @@ def keep_good(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     extra += [(F.col(c) if c in docs.columns else F.lit(None)).cast(shaped.schema[c].dataType).alias(f"{prefix}{c}") for c in ("source", "lang", "n_chars")]
     n = len(docs.columns)
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = pa.RecordBatch.from_arrays(b.columns[n:], ["text", "source", "lang", "n_chars"])

@@ -85,6 +85,7 @@ def majority(h: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
 
 
 def _fingerprints(shingle: int):
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, edges = column_bytes(b.column("text"))
@@ -205,6 +206,7 @@ def _link(distance: int, limits: list[int]):
         at = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(codes[at, 0]), pa.array(codes[root[at], 0])], schema=schema)
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         rows = 0
@@ -264,6 +266,7 @@ LADDER = ((1, 9), (2, 13), (5, 17))
 
 
 def _ladder(shingles: tuple[int, ...]):
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, edges = column_bytes(b.column("text"))

@@ -90,6 +90,7 @@ def _paragraphs(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[t
 
 
 def _occurrences(min_words: int):
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, lo, p in _paragraphs(batches, min_words):
             rows = pa.array(lo + p.doc)
@@ -106,6 +107,7 @@ def _bands(min_words: int, shingle: int, bands: int, rows: int):
     mult, flip = rng.integers(0, 1 << 32, (2, bands * rows), np.uint32)
     mult |= np.uint32(1)
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, p in _paragraphs(batches, min_words):
             _, own = np.unique(p.hash, return_index=True)
@@ -123,6 +125,7 @@ def _bands(min_words: int, shingle: int, bands: int, rows: int):
     return run
 
 
+@common.lean
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, text): the distinct texts of keys with several, and a hash of each such set.
 
@@ -156,6 +159,7 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(min_words: int):
     """Each distinct paragraph of a chunk: its bytes in lower case."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, p in _paragraphs(batches, min_words):
             _, own = np.unique(p.hash, return_index=True)
@@ -213,6 +217,7 @@ def link_like(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def _verify(threshold: float, shingle: int):
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, texts, lines = None, [], []
 
@@ -286,6 +291,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
 
 
 def _cut(text_col: str):
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans = b.column(b.num_columns - 1)

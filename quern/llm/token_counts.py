@@ -55,6 +55,7 @@ def _listed(x: bytes) -> tuple[pa.Array, np.ndarray]:
 
 
 def _postings(tokenizer):
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre = Pretokenizer(tokenizer.value)
         schema = pa.schema([("block", pa.int64()), ("pretoken", pa.string()), ("postings", pa.binary()), ("listing", pa.binary())])
@@ -96,6 +97,7 @@ def _postings(tokenizer):
 
 
 def _distinct(tokenizer):
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre = Pretokenizer(tokenizer.value)
         for _, texts, _ in _blocks(batches):
@@ -108,6 +110,7 @@ def _distinct(tokenizer):
 
 
 def _count_pieces(tokenizer):
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pre = Pretokenizer(tokenizer.value)
         for b in batches:
@@ -116,6 +119,7 @@ def _count_pieces(tokenizer):
     return run
 
 
+@common.lean
 def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, postings, n_pieces) to one row per block and flush: packed document numbers and sums."""
     sums: dict[int, np.ndarray] = {}
@@ -152,6 +156,7 @@ def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield flush()
 
 
+@common.lean
 def _per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block, a block's documents last."""
     total, at = np.zeros(BLOCK_DOCS, np.int64), None
