@@ -164,15 +164,13 @@ def hlc_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hlc_receive(stamps: DataFrame, key: str, wall: str, remote: str) -> DataFrame:
     """Fold of receive steps: the clock never goes back, and counts when the wall clock stands still."""
-    items = F.array_sort(F.collect_list(F.struct("seq", F.col(wall).alias("w"), F.col(remote).alias("r"))))
-    start = F.struct(F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("l"))
+    from ..operators.sequences import streamed
 
-    def step(a, x):
-        p = F.greatest(a["p"], x["w"], x["r"])
-        tick = F.when((p == a["p"]) | (p == x["r"]), a["l"] + 1).otherwise(F.lit(0).cast("long"))
-        return F.struct(p.alias("p"), tick.alias("l"))
+    def step(now, x):
+        p = max(now[0], *x)
+        return p, now[1] + 1 if p in (now[0], x[1]) else 0
 
-    return stamps.groupBy(key).agg(F.aggregate(items, start, step).alias("hlc")).select(key, "hlc.p", "hlc.l")
+    return streamed(stamps, key, ["seq"], [wall, remote], (0, 0), step, f"{key} long, p long, l long")
 
 
 @query("""WITH x AS (SELECT user_id % 40 AS k, list(struct_pack(w := (epoch_us(ts) // 1000), r := (epoch_us(ts) // 1000) + (event_id % 3 - 1) * 1000) ORDER BY event_id) AS xs FROM events GROUP BY 1)

@@ -86,16 +86,25 @@ def effective_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.load(spark, sf_dir, "customer").join(policy, "c_nationkey", "left").select("c_custkey", F.coalesce("soft", F.lit(500000.0)).alias("soft"))
 
 
-def as_of(probes: DataFrame, versions: DataFrame, key: str, at: str, created: str, order: str, value: str) -> DataFrame:
-    """Per probe the newest version at or before its time; keys are joined by equality, versions folded per probe.
+def as_of(probes: DataFrame, versions: DataFrame, key: str, at: str, created: str, order: str, value: str, unit: str = "day") -> DataFrame:
+    """Per probe the newest version at or before its time.
 
     Both sides are put on one time line per key and the last version is carried forward, so a key with many versions
-    never multiplies with its probes.
+    never multiplies with its probes. The line is worked on in pieces of one ``unit`` of time; what a piece begins with
+    comes from a short line of the pieces' last versions. So one key's rows spread over as many tasks as it has pieces.
     """
+    kinds = versions.schema
     v = versions.select(key, F.col(created).alias("t"), F.lit(0).alias("is_probe"), F.col(order).alias("o"), F.col(value).alias("v"), F.lit(None).cast(probes.schema["probe"].dataType).alias("probe"))
-    p = probes.select(key, F.col(at).alias("t"), F.lit(1).alias("is_probe"), F.lit(None).cast(versions.schema[order].dataType).alias("o"), F.lit(None).cast(versions.schema[value].dataType).alias("v"), "probe")
-    w = Window.partitionBy(key).orderBy("t", "is_probe", "o").rowsBetween(Window.unboundedPreceding, 0)
-    return v.unionByName(p).withColumn("found", F.last("v", ignorenulls=True).over(w)).where("is_probe = 1").select("probe", key, F.col("found").alias(value))
+    p = probes.select(key, F.col(at).alias("t"), F.lit(1).alias("is_probe"), F.lit(None).cast(kinds[order].dataType).alias("o"), F.lit(None).cast(kinds[value].dataType).alias("v"), "probe")
+    line = v.unionByName(p).withColumn("piece", F.date_trunc(unit, F.col("t")))
+    here = F.last("v", ignorenulls=True).over(Window.partitionBy(key, "piece").orderBy("t", "is_probe", "o").rowsBetween(Window.unboundedPreceding, 0))
+    found = line.withColumn("here", here).where("is_probe = 1").select("probe", key, "piece", "here")
+    version = F.when(F.col("v").isNotNull(), F.struct("t", "o", "v"))
+    pieces = line.groupBy(key, "piece").agg(F.max(version)["v"].alias("last"))
+    before = F.last("last", ignorenulls=True).over(Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    carried = pieces.select(F.col(key).alias("k"), F.col("piece").alias("of"), before.alias("before"))
+    same = F.col(key).eqNullSafe(F.col("k")) & F.col("piece").eqNullSafe(F.col("of"))
+    return found.join(carried, same).select("probe", key, F.coalesce("here", "before").alias(value))
 
 
 @query("""SELECT p.probe, p.o_custkey, v.o_orderkey FROM (SELECT event_id AS probe, user_id % 1500 + 1 AS o_custkey, ts FROM events) p

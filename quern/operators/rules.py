@@ -160,12 +160,11 @@ def preposition_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {A} SELECT key % 25 AS path, greatest(1, least(6, list_reduce(list_prepend(3::BIGINT, list(CASE WHEN latency_ms / 100 < 0.3 THEN 1::BIGINT WHEN latency_ms / 100 > 0.7 THEN -1::BIGINT ELSE 0::BIGINT END ORDER BY ts_ms, seq)), lambda p, d: greatest(1, least(6, p + d))))) AS parity FROM access GROUP BY 1""")
 def adaptive_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parity goes up on bad quality and down on good, within bounds, sample by sample."""
-    from .sequences import folded
+    from .sequences import streamed
 
     q = F.col("latency_ms") / 100
-    d = F.when(q < 0.3, 1).when(q > 0.7, -1).otherwise(0)
-    log = tables.access_log(spark, sf_dir).withColumn("path", F.col("key") % 25)
-    return folded(log, "path", d, F.lit(3), lambda p, x: F.greatest(F.lit(1), F.least(F.lit(6), p + x))).select("path", F.col("state").cast("long").alias("parity"))
+    log = tables.access_log(spark, sf_dir).withColumn("path", F.col("key") % 25).withColumn("d", F.when(q < 0.3, 1).when(q > 0.7, -1).otherwise(0))
+    return streamed(log, "path", ["ts_ms", "seq"], ["d"], (3,), lambda now, x: (max(1, min(6, now[0] + x[0])),), "path long, parity long")
 
 
 NOW = "1998-08-02"

@@ -1,12 +1,17 @@
 """Sequence operators: runs, bursts, co-occurrence, moving averages, estimators, version chains.
 
-Each key's rows are ordered by (time, id); folds run over the sorted list of one key, which a retention bound keeps to
-a documented size where the reference model keeps a bounded history.
+Each key's rows are ordered by (time, id). Moving averages are linear, so each day of a key folds to one linear map and
+a key's days are chained; folds that aren't stream over sorted partitions with one state at a time. No key's rows are ever
+gathered in memory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import tables
@@ -117,17 +122,39 @@ def batch_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("l_orderkey").agg(rising.alias("rising"), F.count("d").alias("steps"), (rising * 2 > F.count("d")).alias("is_batch"))
 
 
-def folded(log: DataFrame, key: str, value: Column, start: Column, step, finish=None) -> DataFrame:
-    """Per key an ordered fold over its values by (ts_ms, seq)."""
-    items = F.array_sort(F.collect_list(F.struct("ts_ms", "seq", value.alias("x"))))
-    values = F.transform(items, lambda s: s["x"])
-    out = F.aggregate(values, start, step, finish) if finish else F.aggregate(values, start, step)
-    return log.groupBy(key).agg(out.alias("state"))
+def streamed(rows: DataFrame, key: str, order: list[str], inputs: list[str], start: tuple, step: Callable[[tuple, tuple], tuple], schema: str) -> DataFrame:
+    """Per key an ordered fold in Python: (key, *state). Rows stream by in order; one state is held."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [x.strip().split(" ")[0] for x in schema.split(",")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, now, seen = None, start, False
+        for frame in frames:
+            out = []
+            for k, *x in zip(frame[key].tolist(), *(frame[c].tolist() for c in inputs), strict=True):
+                if seen and k != at:
+                    out.append((at, *now))
+                    now = start
+                at, now, seen = k, step(start if not seen else now, tuple(x)), True
+            yield pd.DataFrame(out, columns=columns)
+        if seen:
+            yield pd.DataFrame([(at, *now)], columns=columns)
+
+    return rows.select(key, *order, *inputs).repartition(n, key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+DAY_MS = 86_400_000
 
 
 def ema(log: DataFrame, key: str, value: str, alpha: float) -> DataFrame:
-    """Exponential moving average; the first sample seeds it."""
-    return folded(log, key, F.col(value), F.lit(None).cast("double"), lambda y, x: F.when(y.isNull(), x).otherwise(x * alpha + y * (1 - alpha)))
+    """(key, state): exponential moving average; the first sample seeds it. A day's samples are the map y -> a y + b."""
+    day = F.floor(F.col("ts_ms") / DAY_MS).alias("day")
+    items = F.array_sort(F.collect_list(F.struct("ts_ms", "seq", F.col(value).alias("x"))))
+    days = log.groupBy(key, day).agg(items.alias("s"))
+    b = F.aggregate(F.transform("s", lambda s: s["x"]), F.lit(0.0), lambda y, x: x * alpha + y * (1 - alpha))
+    maps = days.select(key, "day", F.pow(F.lit(1 - alpha), F.size("s")).alias("a"), b.alias("b"), F.element_at("s", 1)["x"].alias("first"))
+    line = F.array_sort(F.collect_list(F.struct("day", "a", "b", "first")))
+    return maps.groupBy(key).agg(line.alias("m")).select(key, F.aggregate("m", F.element_at("m", 1)["first"], lambda y, m: m["a"] * y + m["b"]).alias("state"))
 
 
 def _ema_sql(alpha: float, key: str, extra: str = "") -> str:
@@ -142,8 +169,10 @@ def ema_bandwidth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ema_sql(0.3, "key"))
 def speed_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A zero average counts as not seeded yet; the values here are positive."""
-    return folded(tables.access_log(spark, sf_dir), "key", F.col("latency_ms"), F.lit(0.0), lambda y, x: F.when(y == 0.0, x).otherwise(x * 0.3 + y * 0.7)).select("key", F.round("state", 6).alias("ema"))
+    """A zero average counts as not seeded yet: zeros before the first other value are left out."""
+    log = tables.access_log(spark, sf_dir)
+    seeded = F.max(F.col("latency_ms") != 0).over(by_time("key").rowsBetween(Window.unboundedPreceding, 0))
+    return ema(log.withColumn("seeded", seeded).where("seeded"), "key", "latency_ms", 0.3).select("key", F.round("state", 6).alias("ema"))
 
 
 @query(f"""WITH {A}, l AS (SELECT key, list(CAST(floor(latency_ms * 1000) AS BIGINT) ORDER BY ts_ms, seq) AS xs FROM access GROUP BY 1),
@@ -152,14 +181,15 @@ s AS (SELECT key, list_reduce(list_prepend(struct_pack(srtt := xs[1], var := xs[
 SELECT key, s.srtt AS srtt, s.var AS rttvar, s.srtt + 4 * s.var AS rto FROM s""")
 def rtt_rfc6298(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smoothed round-trip time and its variation, cut to whole microseconds at each step; rto = srtt + 4 var."""
-    start = F.struct(F.lit(None).cast("long").alias("s"), F.lit(0).cast("long").alias("v"))
-
-    def step(a, x):
-        later = F.struct(F.floor(a["s"] * 0.875 + x * 0.125).alias("s"), F.floor(a["v"] * 0.75 + F.abs(a["s"] - x) * 0.25).alias("v"))
-        return F.when(a["s"].isNull(), F.struct(x.alias("s"), F.floor(x / 2).alias("v"))).otherwise(later)
-
-    f = folded(tables.access_log(spark, sf_dir), "key", F.floor(F.col("latency_ms") * 1000), start, step)
-    return f.select("key", F.col("state.s").alias("srtt"), F.col("state.v").alias("rttvar"), (F.col("state.s") + 4 * F.col("state.v")).alias("rto"))
+    def step(now, x):
+        us = x[0]
+        if now[0] < 0:  # the first sample
+            return us, us // 2
+        return math.floor(now[0] * 0.875 + us * 0.125), math.floor(now[1] * 0.75 + abs(now[0] - us) * 0.25)
+
+    rows = tables.access_log(spark, sf_dir).withColumn("us", F.floor(F.col("latency_ms") * 1000))
+    f = streamed(rows, "key", ["ts_ms", "seq"], ["us"], (-1, 0), step, "key long, srtt long, rttvar long")
+    return f.withColumn("rto", F.col("srtt") + 4 * F.col("rttvar"))
 
 
 @query(f"""WITH {A}, e AS (SELECT key % 30 AS edge, count(*) AS n, list_reduce(list(latency_ms ORDER BY ts_ms, seq), lambda y, x: x * 0.2 + y * 0.8) AS ema, avg(latency_ms) AS expected FROM access GROUP BY 1)
