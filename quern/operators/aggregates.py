@@ -147,12 +147,21 @@ def histogram_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearest_rank(df: DataFrame, keys: list[str], value: str, percents: list[float]) -> DataFrame:
     """Exact percentiles: the element at round(p/100 (n-1)), halves away from zero, of the sorted values without NaN.
 
-    Ranks come from a window over value counts, so a key's memory is that of its distinct values at most in a sort that
-    spills; no list is gathered.
+    Value counts are dealt out by (key, value) ranges and ranked inside them; the counts of a key's earlier ranges are
+    added, one row a range. So one key's values spread over tasks, and no list is gathered.
     """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, value).agg(F.count("*").alias("c"))
+    ranged = tables.written(counted.repartitionByRange(n, *keys, value).withColumn("range", F.spark_partition_id()), "value-ranges")
+    within = ranged.withColumn("here", F.sum("c").over(Window.partitionBy("range", *keys).orderBy(value)))
     w = Window.partitionBy(*keys)
-    upto = counted.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
+    sums = ranged.groupBy("range", *keys).agg(F.sum("c").alias("s"))
+    sums = sums.withColumn("before", F.coalesce(F.sum("s").over(w.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("s").over(w))
+    sums = sums.select(F.col("range").alias("of"), *[F.col(k).alias(f"of_{k}") for k in keys], "before", "n")
+    same = F.col("range") == F.col("of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    upto = within.join(sums, same).withColumn("upto", F.col("here") + F.col("before"))
     out = []
     for p in percents:
         at = F.floor(F.lit(p / 100) * (F.col("n") - 1) + 0.5)
