@@ -138,6 +138,8 @@ def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             to = b.filter(listed)
             yield pa.RecordBatch.from_arrays([to.column(0), pa.nulls(len(to), pa.binary()), pa.nulls(len(to), pa.binary()), to.column(3)], names)
             b = b.filter(pc.invert(listed))
+        if not b.num_rows:
+            continue
         block, pieces = b.column(0).to_numpy(), b.column(2).to_numpy()
         edges = text_bytes(b.column(1)) // _PAIR.itemsize
         buf = b.column(1).buffers()
@@ -146,7 +148,9 @@ def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         of, value = np.repeat(block, edges), pairs["n"].astype(np.int64) * np.repeat(pieces, edges)
         order = np.argsort(of, kind="stable")
         of, value, doc = of[order], value[order], pairs["doc"][order]
-        cut = np.flatnonzero(np.diff(of, prepend=of[0] - 1)) if len(of) else np.zeros(0, int)
+        if not len(of):
+            continue
+        cut = np.flatnonzero(np.diff(of, prepend=of[0] - 1))
         for lo, hi in zip(cut, [*cut[1:], len(of)], strict=True):
             got = np.bincount(doc[lo:hi], value[lo:hi], BLOCK_DOCS).astype(np.int64)
             sums[int(of[lo])] = sums[int(of[lo])] + got if int(of[lo]) in sums else got

@@ -171,3 +171,20 @@ def test_pipeline_stages_take_what_comes(spark, docs, empty, tmp_path):
             if k < 4:
                 assert out.columns == d.columns
             out.collect()
+
+
+def test_token_counts_batches_of_listings_only():
+    import pyarrow as pa
+
+    names = ["block", "postings", "n_pieces", "listing"]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+
+    def batch(*rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names)
+
+    listing, posting = (7, None, None, b"x"), (7, b"\x01\x00\x02", 5, None)
+    for given in ([batch(listing)], [batch()], [batch(listing, posting), batch(listing)], [batch(posting), batch(posting)]):
+        out = [r for b in token_counts._partial_sums(iter(given)) for r in b.to_pylist()]
+        rows = [r for b in given for r in b.to_pylist()]
+        assert sum(r["listing"] is not None for r in out) == sum(r["listing"] is not None for r in rows)
+        assert sum(int.from_bytes(r["sums"], "little") for r in out if r["sums"]) == 10 * sum(r["postings"] is not None for r in rows)
