@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import common
-from .pretokens import PieceTable, Pretokenizer
+from .pretokens import piece_table
 
 CAPACITY = 4096
 #: A unit is closed at this many windows' worth of tokens: it bounds a task's memory and the differencing.
@@ -135,7 +135,7 @@ def _pack(tokenizer, end_id: int, capacity: int, unit_windows: int):
 
     @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PieceTable(Pretokenizer(tokenizer.value))
+        table = piece_table(tokenizer.value)
         end = np.array([end_id], np.uint32)
         sequence = TaskContext.get().partitionId() << 40
         ids: list[np.ndarray] = []

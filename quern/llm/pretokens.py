@@ -26,7 +26,8 @@ def _chars(kind: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(_FAST_END) if unicodedata.category(chr(c))[0] == kind)
 
 
-_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_chars('L')}]+|[{_chars('N')}]|[^{_SPACE}{_chars('L')}{_chars('N')}]+")
+# letters first, as most pre-tokens are words; no other alternative begins with one
+_SPLIT = re.compile(f"[{_chars('L')}]+|[{_chars('N')}]|'s|'t|'re|'ve|'m|'ll|'d|[^{_SPACE}{_chars('L')}{_chars('N')}]+")
 
 
 @functools.cache
@@ -82,36 +83,52 @@ class Pretokenizer:
         return [t.id for t in self.tok.model.tokenize(canonical)]
 
 
+class _Numbers(dict):
+    """Numbers of pre-tokens; a new one is encoded when it is first looked up."""
+
+    def __init__(self, pre: Pretokenizer):
+        super().__init__()
+        self.pre, self.flat, self.starts = pre, array("I"), array("q", [0])
+
+    def __missing__(self, p: str) -> int:
+        self[p] = n = len(self)
+        self.flat.extend(self.pre.pieces(self.pre.canonical(p)))
+        self.starts.append(len(self.flat))
+        return n
+
+
 class PieceTable:
     """Ids of texts by table look-up: each distinct pre-token is encoded once, then gathered by number.
 
     The table is emptied when it holds over ``limit`` pre-tokens, so its memory is bounded.
     """
 
-    def __init__(self, pre: Pretokenizer, limit: int = 1_000_000):
+    def __init__(self, pre: Pretokenizer, limit: int = 700_000):
         self.pre, self.limit = pre, limit
-        self._reset()
-
-    def _reset(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.starts = array("I"), array("q", [0])
+        self.number = _Numbers(pre)
 
     def ids(self, text: str) -> np.ndarray:
         if len(self.number) > self.limit:
-            self._reset()
-        number, out = self.number, self.pre.split(text)
-        try:
-            at = np.fromiter(map(number.__getitem__, out), np.int64, len(out))
-        except KeyError:
-            for p in out:
-                if p not in number:
-                    number[p] = len(number)
-                    self.flat.extend(self.pre.pieces(self.pre.canonical(p)))
-                    self.starts.append(len(self.flat))
-            at = np.fromiter(map(number.__getitem__, out), np.int64, len(out))
-        starts, flat = np.frombuffer(self.starts, np.int64), np.frombuffer(self.flat, np.uint32)
-        got = ragged(flat, starts[at], starts[at + 1] - starts[at]) if len(at) else np.zeros(0, np.uint32)
-        return got
+            self.number = _Numbers(self.pre)
+        out = self.pre.split(text)
+        if not out:
+            return np.zeros(0, np.uint32)
+        at = np.fromiter(map(self.number.__getitem__, out), np.int64, len(out))
+        starts, flat = np.frombuffer(self.number.starts, np.int64), np.frombuffer(self.number.flat, np.uint32)
+        first = starts[at]
+        return ragged(flat, first, starts[at + 1] - first)
+
+
+@functools.lru_cache(maxsize=2)
+def pretokenizer(tokenizer_json: str) -> Pretokenizer:
+    """One for all tasks of a worker: reading the vocabulary takes a while."""
+    return Pretokenizer(tokenizer_json)
+
+
+@functools.lru_cache(maxsize=2)
+def piece_table(tokenizer_json: str) -> PieceTable:
+    """One for all tasks of a worker, so that a pre-token is seldom encoded again."""
+    return PieceTable(pretokenizer(tokenizer_json))
 
 
 def ragged(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .pretokens import Pretokenizer, text_bytes
+from .pretokens import pretokenizer, text_bytes
 
 #: A block ends at either bound; it bounds what one task holds, not what is counted.
 BLOCK_DOCS, BLOCK_BYTES = 16384, 48 << 20
@@ -57,7 +57,7 @@ def _listed(x: bytes) -> tuple[pa.Array, np.ndarray]:
 def _postings(tokenizer):
     @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre = Pretokenizer(tokenizer.value)
+        pre = pretokenizer(tokenizer.value)
         schema = pa.schema([("block", pa.int64()), ("pretoken", pa.string()), ("postings", pa.binary()), ("listing", pa.binary())])
         block = TaskContext.get().partitionId() << 32
         for ids, texts, size in _blocks(batches):
@@ -99,7 +99,7 @@ def _postings(tokenizer):
 def _distinct(tokenizer):
     @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre = Pretokenizer(tokenizer.value)
+        pre = pretokenizer(tokenizer.value)
         for _, texts, _ in _blocks(batches):
             seen: set[str] = set()
             for t in texts.to_pylist():
@@ -112,7 +112,7 @@ def _distinct(tokenizer):
 def _count_pieces(tokenizer):
     @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre = Pretokenizer(tokenizer.value)
+        pre = pretokenizer(tokenizer.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(pre.pieces(p)) for p in b.column(0).to_pylist()], pa.int64())], ["pretoken", "n_pieces"])
 
