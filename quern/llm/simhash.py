@@ -261,11 +261,25 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 #: Fingerprints of distinct runs of 1, 2 and 5 words, with the differences that two texts of Jaccard 0.8 over five-word
-#: shingles keep to (99.5 % of such pairs keep to all three here); the first is the one that the index searches.
+#: shingles keep to if its edits are scattered (99.5 % of such pairs keep to all three here; of contiguous edits some
+#: 60 to 70 %, hence the bands); the first is the one that the index searches.
 LADDER = ((1, 9), (2, 13), (5, 17))
 
 
-def _ladder(shingles: tuple[int, ...]):
+def _ladder(shingles: tuple[int, ...], shingle: int, bands: int, rows: int):
+    from .substring_dedup import band_keys
+
+    def runs(w: Words, count: np.ndarray, same: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, text numbers) of each text's distinct shingles of k words, by text; one of fewer words is one shingle."""
+        at, h = w.ngrams(k)
+        short = np.flatnonzero((count > 0) & (count < k))
+        h, doc = np.concatenate([h, same[short]]), np.concatenate([w.doc[at], short])
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        return h[new], doc[new]
+
     @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -279,40 +293,48 @@ def _ladder(shingles: tuple[int, ...]):
                     same = mix(count.astype(np.uint64))
                     np.add.at(same, w.doc, mix(w.hash + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
                 for k in shingles:
-                    at, h = w.ngrams(k)
-                    short = np.flatnonzero((count > 0) & (count < k))
-                    h, doc = np.concatenate([h, same[short]]), np.concatenate([w.doc[at], short])
-                    order = np.lexsort((h, doc))
-                    h, doc = h[order], doc[order]
-                    new = np.ones(len(h), bool)
-                    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                    found.append(majority(h[new], doc[new], n).view(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, n), b.column("row").slice(lo, n), pa.array(same.view(np.int64)), *(pa.array(x) for x in found)], ["doc_id", "row", "node", "fp", *(f"more{k}" for k in range(len(shingles) - 1))])
+                    h, doc = runs(w, count, same, k)
+                    found.append(majority(h, doc, n).view(np.int64))
+                h, doc = runs(w, count, same, shingle)
+                keys = np.stack(list(band_keys(h, np.flatnonzero(np.diff(doc, prepend=-1)), bands, rows)), axis=1)
+                ends = np.concatenate([[0], np.cumsum(count > 0) * bands]).astype(np.int32)  # a text without words has none
+                bands_of = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, n), b.column("row").slice(lo, n), pa.array(same.view(np.int64)), *(pa.array(x) for x in found), bands_of], ["doc_id", "row", "node", "fp", *(f"more{k}" for k in range(len(shingles) - 1)), "bands"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, ladder: tuple[tuple[int, int], ...] = LADDER, hot: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, ladder: tuple[tuple[int, int], ...] = LADDER, recall: float = 0.999, hot: int = 4096) -> DataFrame:
     """Per document: doc_id, row (a hash of id and text), component_id, component_row, verified exactly.
 
-    The index links texts whose fingerprints keep to the ladder; inside what they connect, texts are compared by the
-    exact Jaccard coefficient of their word shingles (a text of fewer words is one shingle), and links at the threshold
+    Candidates come from two sources: the index links texts whose fingerprints keep to the ladder, and MinHash bands over
+    the word shingles meet at the wanted recall whatever the shape of an edit is. Inside what the ladder connects, and
+    inside each set of texts that meets in a band and isn't within one such group, texts are compared by the exact Jaccard coefficient of their word shingles (a text of fewer words is one shingle), and links at the threshold
     or above give the components. Texts of equal words are one node throughout.
     """
-    from .substring_dedup import verified_links
+    from .substring_dedup import _meeting, tune, verified_links
 
     rows = common.text_only(docs, id_col, text_col).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     more = [f"more{k}" for k in range(len(ladder) - 1)]
-    kinds = "doc_id long, row long, node long, fp long" + "".join(f", {m} long" for m in more)
-    found = common.materialise(rows.mapInArrow(_ladder(tuple(k for k, _ in ladder)), kinds), "fingerprints")
-    codes = common.materialise(found.select("node", "fp", *more).dropDuplicates(["node"]), "codes")
+    kinds = "doc_id long, row long, node long, fp long" + "".join(f", {m} long" for m in more) + ", bands array<long>"
+    found = common.materialise(rows.mapInArrow(_ladder(tuple(k for k, _ in ladder), shingle, *tune(threshold, recall)), kinds), "fingerprints")
+    codes = common.materialise(found.select("node", "fp", *more, "bands").dropDuplicates(["node"]), "codes")
     near = components(links(codes, ladder[0][1], tuple(x for _, x in ladder[1:]), hot))
+    label = near.select(F.col("node").alias("text_hash"), "label")
+    sizes = label.groupBy("label").agg(F.count("*").alias("n"))
+    keys = codes.select(F.explode("bands").alias("key"), F.col("node").alias("text_hash"))
+    met = keys.repartition(common.n_partitions(docs.sparkSession), "key").sortWithinPartitions("key", "text_hash")
+    met = common.materialise(met.mapInArrow(_meeting, "key long, text_hash long, set long, n long"), "meeting")
     common.discard(codes)
-    members = common.materialise(near.select(F.col("label").alias("key"), F.col("node").alias("text_hash")), "near")
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    wanted = found.join(members.select(F.col("text_hash").alias("node")), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    # a set that meets in several bands is compared once, and not at all where one group of the ladder holds it
+    once = met.join(label, "text_hash", "left").groupBy("set").agg(F.min("key").alias("key"), F.min("label").alias("a"), F.max("label").alias("b"), F.count_if(F.col("label").isNull()).alias("alone"))
+    once = once.where("alone > 0 or a != b").select("set", "key")
+    met_once = met.join(once, ["set", "key"]).select("key", "text_hash", "n")
+    members = common.materialise(label.join(sizes, "label").select(F.col("label").alias("key"), "text_hash", "n").unionByName(met_once), "near")
+    common.discard(met)
+    wanted = found.join(members.select(F.col("text_hash").alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
     lines = rows.select("row", "text").join(wanted, "row").groupBy(F.col("node").alias("text_hash")).agg(F.first(F.encode("text", "UTF-8")).alias("line"))
-    same = components(verified_links(members.join(sizes, "key"), lines, shingle, threshold, hot))
+    same = components(verified_links(members, lines, shingle, threshold, hot))
     common.discard(members)
     common.discard(near)
     nodes = found.select("doc_id", "row", "node").join(same, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -102,11 +102,20 @@ def _occurrences(min_words: int):
     return run
 
 
-def _bands(min_words: int, shingle: int, bands: int, rows: int):
+def band_keys(h: np.ndarray, first: np.ndarray, bands: int, rows: int) -> Iterator[np.ndarray]:
+    """Per band the MinHash key of each run of shingle hashes; runs begin at ``first`` and none is empty."""
     rng = np.random.default_rng(20)
     mult, flip = rng.integers(0, 1 << 32, (2, bands * rows), np.uint32)
     mult |= np.uint32(1)
+    short = (h >> np.uint64(32)).astype(np.uint32)
+    for band in range(bands):
+        key = np.full(len(first), band + 1, np.uint64)
+        for k in range(band * rows, band * rows + rows):
+            key = mix(key ^ np.minimum.reduceat((short ^ flip[k]) * mult[k], first))
+        yield key
+
 
+def _bands(min_words: int, shingle: int, bands: int, rows: int):
     @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, p in _paragraphs(batches, min_words):
@@ -114,12 +123,7 @@ def _bands(min_words: int, shingle: int, bands: int, rows: int):
             if not len(own):
                 continue
             h, many = p.shingles(shingle)
-            short = (h >> np.uint64(32)).astype(np.uint32)
-            first = np.cumsum(many) - many
-            for band in range(bands):
-                key = np.full(len(many), band + 1, np.uint64)
-                for k in range(band * rows, band * rows + rows):
-                    key = mix(key ^ np.minimum.reduceat((short ^ flip[k]) * mult[k], first))
+            for key in band_keys(h, np.cumsum(many) - many, bands, rows):
                 yield pa.RecordBatch.from_arrays([pa.array(key[own].view(np.int64)), pa.array(p.hash[own].view(np.int64))], ["key", "text_hash"])
 
     return run
