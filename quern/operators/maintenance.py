@@ -51,6 +51,25 @@ def replication_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("r", r).where("r <= need").select("chunk", "edge")
 
 
+@query(f"""WITH {R}, {E}, n AS (SELECT chunk, count(*) AS n FROM replicas GROUP BY 1 HAVING count(*) < 32), c AS (SELECT n.chunk, e.edge, row_number() OVER (PARTITION BY n.chunk ORDER BY e.health DESC, e.edge) AS r, 32 - n.n AS need FROM n, (SELECT * FROM edges WHERE online) e WHERE NOT EXISTS (SELECT 1 FROM replicas x WHERE x.chunk = n.chunk AND x.edge = e.edge)) SELECT chunk, edge FROM c WHERE r <= need""")
+def replication_repair_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each chunk short of copies, the healthiest of all online peers that lack it, as many as are short."""
+    return missing_copies(tables.replicas(spark, sf_dir), tables.edges(spark, sf_dir), 32)
+
+
+def missing_copies(held: DataFrame, edges: DataFrame, copies: int) -> DataFrame:
+    """(chunk, edge): where each chunk with fewer copies gets the rest.
+
+    A chunk with n copies holds n at most of the ``copies`` healthiest peers, so its ``copies - n`` best are among those.
+    """
+    short = held.groupBy("chunk").agg((copies - F.count("*")).alias("need"), F.collect_set("edge").alias("have")).where("need > 0")
+    peers = edges.where("online").orderBy(F.desc("health"), "edge").limit(copies)
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("health")).alias("ill"), "edge")))
+    c = short.crossJoin(F.broadcast(peers.agg(ranked.alias("p")).select(F.transform("p", lambda x: x["edge"]).alias("best"))))
+    left = F.filter("best", lambda e: ~F.array_contains("have", e))
+    return c.select("chunk", F.explode(F.slice(left, F.lit(1), F.col("need").cast("int"))).alias("edge"))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_linenumber % 3 AS path, CASE WHEN l_quantity > 48 THEN 'timeout' WHEN l_quantity > 45 THEN 'retry' ELSE 'ok' END AS state FROM lineitem")
 def stripe_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity")

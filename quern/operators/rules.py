@@ -268,6 +268,31 @@ def repair_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("score", score).groupBy("chunk").agg(F.max_by("edge", F.struct("score", -F.col("edge"))).alias("target"), F.round(F.max("score"), 4).alias("score"))
 
 
+def repair_targets(replicas: DataFrame, edges: DataFrame) -> DataFrame:
+    """(chunk, target, score): each held chunk's best online edge, scored as in ``repair_target``.
+
+    A score depends on the chunk only through whether it has a copy in the edge's domain, so each domain's best edge for
+    either case stands for all of it: no chunk meets more than one row a domain.
+    """
+    held = replicas.join(edges.select("edge"), "edge").groupBy("chunk").agg(F.collect_set(F.col("edge") % 8).alias("domains"))
+    e = edges.where("online").withColumn("domain", F.col("edge") % 8)
+    best = []
+    for new in (0, 100):
+        score = F.lit(new) + F.when(F.col("edge") % 5 == 0, 50).otherwise(0) + F.when(F.col("load") < 0.8, 25).otherwise(0) + (100 - F.least(F.col("rtt_us") / 1000, F.lit(100.0))) / 10
+        best.append(F.max(F.struct(score.alias("score"), (-F.col("edge")).alias("least"))).alias(f"best{new}"))
+    c = held.crossJoin(F.broadcast(e.groupBy("domain").agg(*best)))
+    own = F.when(F.array_contains("domains", F.col("domain")), F.col("best0")).otherwise(F.col("best100"))
+    top = c.groupBy("chunk").agg(F.max(own).alias("top"))
+    return top.select("chunk", (-F.col("top.least")).alias("target"), F.round("top.score", 4).alias("score"))
+
+
+@query(f"""WITH {R}, {E}, h AS (SELECT chunk, list(DISTINCT edge % 8) AS domains FROM replicas JOIN edges USING (edge) GROUP BY 1), s AS (SELECT h.chunk, e.edge, (CASE WHEN list_contains(domains, e.edge % 8) THEN 0 ELSE 100 END) + (CASE WHEN e.edge % 5 = 0 THEN 50 ELSE 0 END) + (CASE WHEN e.load < 0.8 THEN 25 ELSE 0 END) + (100 - least(rtt_us / 1000, 100)) / 10 AS score FROM h, (SELECT * FROM edges WHERE online) e)
+SELECT chunk, arg_max(edge, (score, -edge)) AS target, round(max(score), 4) AS score FROM s GROUP BY 1""")
+def repair_target_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best online edge for a new copy of every chunk."""
+    return repair_targets(tables.replicas(spark, sf_dir), tables.edges(spark, sf_dir))
+
+
 @query(f"""SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN false WHEN DATE '{NOW}' >= until THEN true WHEN o_orderstatus = 'O' THEN o_custkey % 3 = 0 ELSE false END AS may_delete FROM (SELECT *, CAST(o_orderdate AS DATE) + CAST(365 * (1 + o_orderkey % 4) AS INTEGER) AS until FROM orders)""")
 def retention_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A legal hold blocks; an ended retention allows; governance needs the bypass; compliance never."""
