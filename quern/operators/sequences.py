@@ -255,6 +255,21 @@ def ancestor_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ancestors(n, "id", "parent", n.where("id % 7 = 0"))
 
 
+@query()
+def ancestor_walk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earlier turns of a conversation as parents, from every turn at any depth; nodes are (conv_id, turn)."""
+    return turn_ancestors(tables.load(spark, sf_dir, "conversations"))
+
+
+def turn_ancestors(conversations: DataFrame) -> DataFrame:
+    """(start, node, depth) of every turn; start and node are structs of conv_id and turn."""
+    c = conversations.select("conv_id", "turn").distinct()
+    first = c.groupBy("conv_id").agg(F.min("turn").alias("first"))
+    parent = F.struct("conv_id", (F.col("turn") - 1).cast(c.schema["turn"].dataType).alias("turn"))
+    n = c.join(first, "conv_id").select(F.struct("conv_id", "turn").alias("id"), F.when(F.col("turn") > F.col("first"), parent).alias("parent"))
+    return ancestors(n, "id", "parent", n)
+
+
 @query("""WITH x AS (SELECT DISTINCT l_orderkey, CAST(l_linenumber - 1 AS BIGINT) AS idx FROM lineitem WHERE l_linenumber <> 4), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY idx) - 1 AS r FROM x) SELECT l_orderkey, count_if(idx = r) AS ready, count(*) AS received FROM r GROUP BY 1""")
 def ordered_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many pieces from the first on are there without a gap."""

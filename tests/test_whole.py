@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+from quern.operators.sequences import turn_ancestors
 from quern.registry import QUERIES
 
 
@@ -40,3 +41,30 @@ def test_repair_takes_all_chunks_and_edges(spark):
     assert {r["chunk"]: r["target"] for r in QUERIES["repair_target_all"](spark, sf).collect()} == want_target
     got = [tuple(r) for r in QUERIES["replication_repair_all"](spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == want_copies
+
+
+def walks(turns):
+    """All (start, node, depth) of (conv_id, turn) pairs, one parent at a time."""
+    first = {}
+    for c, t in turns:
+        first[c] = min(t, first.get(c, t))
+    out = set()
+    for c, t in turns:
+        at, depth = t, 0
+        out.add(((c, t), (c, t), 0))
+        while at > first[c] and (c, at) in turns:
+            at, depth = at - 1, depth + 1
+            out.add(((c, t), (c, at), depth))
+    return out
+
+
+def test_ancestors_of_all_turns(spark, sf_dir):
+    turns = {tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn").collect()}
+    got = [(tuple(r["start"]), tuple(r["node"]), r["depth"]) for r in QUERIES["ancestor_walk_all"](spark, sf_dir).collect()]
+    assert len(got) == len(set(got)) and set(got) == walks(turns)
+
+
+def test_ancestors_beyond_a_thousand_turns(spark):
+    turns = {(1, t) for t in range(990, 1030)} | {(2, t) for t in range(5)} | {(3, 1), (3, 2), (3, 4)}
+    got = turn_ancestors(spark.createDataFrame(sorted(turns), "conv_id long, turn long")).collect()
+    assert {(tuple(r["start"]), tuple(r["node"]), r["depth"]) for r in got} == walks(turns)
