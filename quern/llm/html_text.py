@@ -3,8 +3,9 @@
 A page is read once into blocks: runs of text under one root-to-leaf path of block tags (with their classes; inline
 tags don't count). Menus, page headers, footers, asides, forms and parts whose class, id or role says so are no
 candidates. Text length without links and punctuation are summed per path and divided by the path's blocks; the two
-ratios are fused, smoothed over neighbouring blocks, and paths above the page's threshold are content. The least
-container that holds most of the content gives the article; in it headings and short blocks count too, link lists don't.
+ratios are fused, smoothed over neighbouring blocks, and paths above the page's threshold are content, as are
+paragraphs that aren't links. The article or main element with most of it, or else the least container that holds all of
+it, gives the text; in it headings and short blocks count too, link lists don't.
 
 Nulls: null html is an empty page and gives an empty text; ids and urls may be null; repeated rows stay; an empty table
 gives an empty result; further columns are ignored. Broken markup is read as far as it goes: an unclosed script or
@@ -174,7 +175,9 @@ def main_text(page: str | None) -> str:
     spread = math.sqrt(sum((x - mean) ** 2 for x in score.values()) / len(score))
     limit = min(max(score.values()), max(mean, spread))
     content = {p for p, x in score.items() if x >= limit}
-    # the least container of nearly all content
+    # paragraphs that aren't links belong to the text whatever their score
+    content |= {path for path, text, links, _ in found if path and path[-1].split(".")[0] == "p" and 2 * links <= len(text)}
+    # the article or main element with most of the content, or else the least container of all content
     weight: dict[tuple[str, ...], int] = defaultdict(int)
     total = 0
     for path, text, links, _ in found:
@@ -182,14 +185,16 @@ def main_text(page: str | None) -> str:
             total += len(text) - links
             for k in range(len(path) + 1):
                 weight[path[:k]] += len(text) - links
-    container = max((p for p, x in weight.items() if x >= 0.8 * total), key=len)
+    bodies = [p for p, x in weight.items() if p and p[-1].split(".")[0] in ("article", "main") and 2 * x > total]
+    in_body = bool(bodies)
+    container = max(bodies, key=lambda p: (weight[p], -len(p))) if bodies else max((p for p, x in weight.items() if x >= total and all(c[: len(p)] == p for c in content)), key=len)
     while container and container[-1].split(".")[0] in HEADINGS | {"p", "li", "ul", "ol", "blockquote", "pre", "dl", "dd", "dt", "td", "tr", "th", "tbody", "table", "figcaption"}:
         container = container[:-1]
     n, began, keep = len(container), False, []
     for path, text, links, _ in found:
         if path[:n] == container:
             began = True
-            if path in content or 2 * links <= len(text):
+            if path in content or 2 * links <= len(text) or in_body and path[-1].split(".")[0] == "p":
                 keep.append(text)
         elif not began and n and path[-1:] and path[-1].split(".")[0] in ("h1", "h2"):
             # the article's title may stand beside its body, or before it in a part of its own

@@ -7,6 +7,7 @@ import random
 import pytest
 
 from quern.llm import simhash
+from quern.llm.html_text import main_text
 
 
 def grams(words, n=5):
@@ -41,3 +42,19 @@ def test_near_duplicates_by_kind_of_edit(spark, kind):
     found = sum(r["doc_id"] % 2 == 1 and r["component_id"] == r["doc_id"] - 1 for r in got)
     print(kind, found, pairs)
     assert found >= 0.99 * pairs
+
+
+def paragraphs(n, length, word):
+    return [f"{word}{i}, " + "said more. " * (length // 11) for i in range(n)]
+
+
+@pytest.mark.parametrize("page", [
+    "<article><p class=lead>{lead}</p><div class=body>{body}</div></article>",
+    "<div><section class=intro><p>{lead}</p></section><div class=body>{body}</div></div>",
+    "<main><div class=body>{body}</div><section class=conclusion><p>{lead}</p></section></main>",
+    "<article><div class=body>{body}</div><div class=notes><p class=note><a href=x>{lead}</a></p></div></article>",
+])
+def test_sections_of_other_classes(page):
+    lead, body = paragraphs(1, 200, "lead"), paragraphs(8, 400, "body")
+    got = main_text("<html><body><nav><a href=x>menu</a></nav>" + page.format(lead=lead[0], body="".join(f"<p>{x}</p>" for x in body)) + "<footer>imprint</footer></body></html>")
+    assert all(x.strip() in got for x in lead + body) and "menu" not in got and "imprint" not in got
