@@ -41,6 +41,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each run of n neighbouring hashes, whatever n costs: differences of running sums."""
+    m = len(h) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    p, inverse = _powers(len(h))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * p[: len(h)], dtype=np.uint64)])
+        return mix((sums[n:] - sums[:-n]) * inverse[:m])
+
+
 @dataclass
 class Words:
     """low: the bytes in lower case; start, end: of each word in low; doc: number of its text; hash: of each word."""

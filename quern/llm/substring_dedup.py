@@ -1,15 +1,25 @@
-"""Repeated passages: paragraph MinHash banding, exact Jaccard, components, removal of all but the first occurrence.
+"""Repeated passages: paragraph MinHash banding, exact verification, components, removal of all but the first occurrence.
 
-A paragraph is a line of at least ``MIN_WORDS`` words. Equal paragraphs (by a 64-bit hash of their words in order) are
-one text from the start. Bands are tuned so that two texts at the threshold meet with the wanted probability. Texts
-that share a band are gathered by that band's key, once for each set of texts that meet, and compared by the exact
-Jaccard coefficient of their word shingles: a search from text to text that visits each once, so a group of like texts
-costs no pairs. Keys of over ``HOT`` texts are split into pieces compared two by two in separate tasks. Links give
-components by star rounds; the first occurrence (least doc_id, then place) of each component stays.
+Two kinds of paragraphs, so that a passage is found wherever it stands:
+
+* Lines of at least ``MIN_WORDS`` words, alike or nearly. Bands of MinHashes are tuned so that two lines at the threshold
+  meet with the wanted probability; lines that share a band are gathered by its key, once for each set that meets, and
+  compared by the exact Jaccard coefficient of their word shingles: a search from text to text that visits each once, so
+  a group of like texts costs no pairs. Keys of over ``HOT`` texts are split into pieces compared two by two in separate
+  tasks. Links give components by star rounds; the first occurrence (least doc_id, then place) of each component stays.
+* Every run of ``RUN`` words, whatever the line breaks do: a sliding paragraph. Its band is the MinHash of its shingles of
+  ``RUN_SHINGLE`` words, so equal runs always share it (recall 1), and neighbouring runs mostly share it too: a document
+  writes each band once, about one for 17 words. In documents that share a band with another text, the runs of that band
+  are compared by a 64-bit hash of all their words; a run stays where it occurs first. Texts that are equal as a whole
+  are one text here, and all but the first go. Runs inside a line that is removed already aren't looked at, and those
+  that overlap one come last in the order, so what is removed always has its like somewhere that stays.
+
+Words are runs of non-blank bytes in lower case; a word said several times running counts once in sliding paragraphs (text
+that only stammers is the quality classifier's business). Runs repeated within one document only stay.
 
 Nulls: a null text has no paragraphs; a null doc_id comes after all others. Rows repeated with one id and text are
 one document: its paragraphs aren't repeats of themselves, and such rows are treated alike.
-Documents without words or with short lines only have no row. Very long lines are paragraphs like others, never cut.
+Documents that hold neither kind have no row. Very long lines are paragraphs like others, never cut.
 An empty table gives an empty result. ``remove_repeats`` keeps all columns of its input.
 """
 
@@ -19,14 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .bytewords import IS_SOLID, Words, chunks, column_bytes, column_words, mix, words
+from .bytewords import IS_SOLID, Words, chunks, column_bytes, column_words, mix, run_hashes, words
 from .graph import components
 
 SHINGLE, THRESHOLD, RECALL, MIN_WORDS = 5, 0.8, 0.999, 25
+#: Words of a sliding paragraph, and of the shingles that its MinHash is taken over.
+RUN, RUN_SHINGLE = 50, 18
 #: Texts of one band key that a task compares; more are split.
 HOT = 4096
 #: Most bands that tuning may take: each is a row per text in the shuffle.
@@ -260,15 +272,9 @@ def verified_links(members: DataFrame, lines: DataFrame, shingle: int, threshold
     return groups.repartition(common.n_partitions(members.sparkSession), *order).sortWithinPartitions(*order, "text_hash").mapInArrow(_verify(threshold, shingle), "a long, b long")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, shingle: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, hot: int = HOT) -> DataFrame:
-    """One row per paragraph that occurs again somewhere, alike or nearly.
-
-    doc_id, row (a hash of id and text), paragraph (line number in its text), start and end (bytes of its UTF-8 text),
-    n_words, component_id (the doc_id of the component's first occurrence), component_paragraph, removed (all but the first).
-    """
-    spark = docs.sparkSession
-    n = common.n_partitions(spark)
-    texts = common.text_only(docs, id_col, text_col).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+def like_lines(texts: DataFrame, min_words: int = MIN_WORDS, shingle: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, hot: int = HOT) -> DataFrame:
+    """One row per line of at least ``min_words`` words that occurs again somewhere, alike or nearly. texts: doc_id, row, text."""
+    n = common.n_partitions(texts.sparkSession)
     places = common.materialise(texts.mapInArrow(_occurrences(min_words), "doc_id long, row long, paragraph long, start long, end long, n_words long, text_hash long"), "paragraphs")
     only = texts.select("text")
     bands, rows = tune(threshold, recall)
@@ -286,14 +292,162 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     classed = places.join(reach, "text_hash", "left").withColumn("label", F.coalesce("label", "text_hash"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "paragraph")
     first = classed.groupBy("label").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first != final")
-    out = classed.join(first, "label")
-    return out.select(
+    return classed.join(first, "label").select(
         "doc_id", "row", "paragraph", "start", "end", "n_words",
         F.col("first.doc_id").alias("component_id"), F.col("first.paragraph").alias("component_paragraph"),
         (F.struct("row", "paragraph") != F.struct("first.row", "first.paragraph")).alias("removed"),
     )
 
 
+class Runs:
+    """All runs of ``run`` words of some texts: doc (number), word (place of its first word), start and end byte, line, band (MinHash), hash."""
+
+    def __init__(self, data: np.ndarray, edges: np.ndarray, run: int, shingle: int):
+        w = words(data, edges, IS_SOLID)
+        own = np.ones(len(w.hash), bool)
+        own[1:] = (w.hash[1:] != w.hash[:-1]) | (w.doc[1:] != w.doc[:-1])
+        at = np.flatnonzero(own)
+        h, doc = w.hash[at], w.doc[at]
+        last = w.end[np.append(at[1:], len(own))[: len(at)] - 1] if len(at) else w.end
+        self.n_words = np.bincount(doc, minlength=w.n_docs)
+        first_word = np.cumsum(self.n_words) - self.n_words
+        n = max(0, len(h) - run + 1)
+        begin = np.flatnonzero(doc[:n] == doc[run - 1 :]) if n else np.zeros(0, np.int64)
+        self.doc, self.word = doc[begin], begin - first_word[doc[begin]]
+        lines = np.concatenate([[0], np.cumsum(data == 10)])
+        start, end = w.start[at[begin]], last[begin + run - 1]
+        self.line = lines[start] - lines[edges[self.doc]]
+        self.start, self.end = start - edges[self.doc], end - edges[self.doc]
+        self.hash = run_hashes(h, run)[begin]
+        low = run_hashes(h, shingle)
+        width, span = run - shingle + 1, 1
+        while span * 2 <= width:  # least of ever wider stretches of shingles
+            low, span = np.minimum(low[:-span], low[span:]) if len(low) > span else low[:0], span * 2
+        rest = width - span
+        self.band = (np.minimum(low[: len(low) - rest], low[rest:]) if rest and len(low) > rest else low)[begin] if len(begin) else np.zeros(0, np.uint64)
+
+
+def _run_bands(run: int, shingle: int):
+    """Each text that holds a run: where its words begin and end, a hash of them, and the distinct bands of its runs."""
+
+    @common.lean
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, edges = column_bytes(b.column("text"))
+            for lo, hi in chunks(edges):
+                r = Runs(data[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo], run, shingle)
+                if not len(r.doc):
+                    continue
+                new = np.ones(len(r.doc), bool)  # neighbours mostly share their band
+                new[1:] = (r.doc[1:] != r.doc[:-1]) | (r.band[1:] != r.band[:-1])
+                doc, band = r.doc[new], r.band[new]
+                order = np.lexsort((band, doc))
+                doc, band = doc[order], band[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (band[1:] != band[:-1])
+                doc, band = doc[new], band[new]
+                first = np.flatnonzero(np.diff(r.doc, prepend=-1))
+                final = np.append(first[1:], len(r.doc)) - 1
+                some = r.doc[first]
+                # all runs in order, the line breaks aside: one hash of the whole text
+                whole = mix(np.add.reduceat(mix(r.hash + r.word.astype(np.uint64)), first) + r.n_words[some].astype(np.uint64))
+                cut = np.append(np.searchsorted(doc, some), len(doc)).astype(np.int32)
+                rows = pa.array(lo + some)
+                numbers = (r.line[first], r.start[first], r.end[final], r.n_words[some], whole.view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").take(rows), b.column("row").take(rows), *(pa.array(x.astype(np.int64)) for x in numbers), pa.ListArray.from_arrays(pa.array(cut), pa.array(band.view(np.int64)))],
+                    ["doc_id", "row", "paragraph", "start", "end", "n_words", "whole", "bands"],
+                )
+
+    return go
+
+
+def _shared_runs(run: int, shingle: int):
+    """The runs whose band is among a text's ``bands``, but for those inside one of its ``gone`` spans."""
+
+    @common.lean
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, edges = column_bytes(b.column("text"))
+            bands, gone = b.column("bands"), b.column("gone")
+            for lo, hi in chunks(edges):
+                r = Runs(data[edges[lo] : edges[hi]], edges[lo : hi + 1] - edges[lo], run, shingle)
+                keep, late = np.zeros(len(r.doc), bool), np.zeros(len(r.doc), bool)
+                cut = np.searchsorted(r.doc, np.arange(hi - lo + 1))
+                for d in range(hi - lo):
+                    x, y = int(cut[d]), int(cut[d + 1])
+                    if x == y:
+                        continue
+                    keep[x:y] = np.isin(r.band[x:y], bands[lo + d].values.to_numpy().view(np.uint64))
+                    if gone[lo + d].is_valid:
+                        spans = sorted((s["start"], s["end"]) for s in gone[lo + d].as_py())
+                        s, e = np.array(spans, np.int64).T
+                        i = np.searchsorted(s, r.start[x:y], "right") - 1
+                        keep[x:y] &= (i < 0) | (e[i] < r.end[x:y])
+                        j = np.searchsorted(e, r.start[x:y], "right")
+                        late[x:y] = np.append(s, 1 << 62)[j] < r.end[x:y]
+                at = np.flatnonzero(keep)
+                rows = pa.array(lo + r.doc[at])
+                numbers = (r.line, r.start, r.end, r.word, r.hash.view(np.int64))
+                for k in range(0, len(at), 1 << 16):
+                    part = at[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("doc_id").take(rows[k : k + (1 << 16)]), b.column("row").take(rows[k : k + (1 << 16)]), *(pa.array(x[part].astype(np.int64)) for x in numbers), pa.array(late[part])],
+                        ["doc_id", "row", "paragraph", "start", "end", "word", "hash", "late"],
+                    )
+
+    return go
+
+
+def equal_runs(texts: DataFrame, gone: DataFrame, run: int = RUN, shingle: int = RUN_SHINGLE) -> DataFrame:
+    """One row per stretch of runs that occur in several documents, as far as it is first, or repeats one stretch elsewhere.
+
+    texts: doc_id, row, text. gone: row, start, end of spans that are removed already. Columns as in ``like_lines``.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "paragraph")
+    kinds = "doc_id long, row long, paragraph long, start long, end long, n_words long"
+    found = common.materialise(texts.mapInArrow(_run_bands(run, shingle), kinds + ", whole long, bands array<long>"), "runs")
+    whole = found.groupBy("whole").agg(F.min(place).alias("first"), F.max(place).alias("final"))
+    copies = found.join(whole.where("first != final"), "whole").select(
+        "doc_id", "row", "paragraph", "start", "end", "n_words",
+        F.col("first.doc_id").alias("component_id"), F.col("first.paragraph").alias("component_paragraph"), (F.col("row") != F.col("first.row")).alias("removed"),
+    )
+    own = found.join(whole.select(F.col("first.row").alias("row")), "row", "left_semi").dropDuplicates(["row"])
+    keys = common.materialise(own.select("row", F.explode("bands").alias("band")), "bands")
+    several = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = keys.join(several, "band", "left_semi").groupBy("row").agg(F.collect_list("band").alias("bands"))
+    spans = gone.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
+    rows = texts.join(met.join(spans, "row", "left"), "row").select("doc_id", "row", "text", "bands", "gone")
+    shared = common.materialise(rows.mapInArrow(_shared_runs(run, shingle), "doc_id long, row long, paragraph long, start long, end long, word long, hash long, late boolean"), "shared")
+    common.discard(keys)
+    order = F.struct("late", F.col("doc_id").isNull().alias("last"), "doc_id", "row", "word", "paragraph")
+    first = shared.groupBy("hash").agg(F.min(order).alias("first"), F.min("row").alias("a"), F.max("row").alias("b")).where("a != b").select("hash", "first")
+    every = shared.join(first, "hash").withColumn("removed", F.struct("row", "word") != F.struct("first.row", "first.word"))
+    along = Window.partitionBy("row").orderBy("word")
+    step = F.col("word") - F.lag("word").over(along)
+    goes_on = (step <= 1) & (F.col("removed") == F.lag("removed").over(along)) & (F.col("first.row") == F.lag("first.row").over(along)) & (F.col("first.word") - F.lag("first.word").over(along) == step)
+    numbered = every.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("stretch", F.sum("new").over(along))
+    stretches = numbered.groupBy("row", "stretch").agg(
+        F.first("doc_id").alias("doc_id"), F.min("paragraph").alias("paragraph"), F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word") - F.min("word") + run).alias("n_words"),
+        F.first("first.doc_id").alias("component_id"), F.min("first.paragraph").alias("component_paragraph"), F.first("removed").alias("removed"),
+    )
+    return copies.unionByName(stretches.select(copies.columns))
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, shingle: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, hot: int = HOT, run: int = RUN, run_shingle: int = RUN_SHINGLE) -> DataFrame:
+    """One row per passage that occurs again somewhere.
+
+    doc_id, row (a hash of id and text), kind (line, or run: a stretch of equal runs, or a whole text), paragraph (number of
+    the line where it begins), start and end (bytes of its UTF-8 text), n_words, component_id (the doc_id of the component's
+    first occurrence), component_paragraph, removed (all but the first). Passages of the two kinds may overlap.
+    """
+    texts = common.text_only(docs, id_col, text_col).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    lines = common.materialise(like_lines(texts, min_words, shingle, threshold, recall, hot), "like-lines")
+    runs = equal_runs(texts, lines.where("removed").select("row", "start", "end"), run, run_shingle)
+    kind = lambda df, name: df.select("doc_id", "row", F.lit(name).alias("kind"), *df.columns[2:])
+    return kind(lines, "line").unionByName(kind(runs, "run"))
+
+
 def _cut(text_col: str):
     @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

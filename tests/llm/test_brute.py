@@ -19,13 +19,13 @@ from hypothesis import strategies as st
 
 import corpus_pipeline
 from quern.llm import licenses, media, simhash
-from quern.llm.bytewords import column_words
+from quern.llm.bytewords import column_bytes, column_words
 from quern.llm.html_text import main_text
 from quern.llm.lm_scores import _pack, _unpack
 from quern.llm.packing import difference, windows
 from quern.llm.pretokens import PieceTable, Pretokenizer
 from quern.llm.queries import QUERIES, tokenizer_json
-from quern.llm.substring_dedup import link_like, tune
+from quern.llm.substring_dedup import Runs, link_like, remove_repeats, tune
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -186,10 +186,96 @@ def test_substring_dedup(spark, sf_dir, texts):
         if len(c) > 1:
             first = min(places[i][:2] for i in c)
             want |= {places[i][:2]: (*first, places[i][:2] != first) for i in c}
-    got = {(r["doc_id"], r["paragraph"]): (r["component_id"], r["component_paragraph"], r["removed"]) for r in QUERIES["op4_substring_dedup"](spark, sf_dir).collect()}
+    got = {(r["doc_id"], r["paragraph"]): (r["component_id"], r["component_paragraph"], r["removed"]) for r in QUERIES["op4_substring_dedup"](spark, sf_dir).where("kind = 'line'").collect()}
     assert want == got and any(x[2] for x in got.values())
 
 
+def word_runs(text, n=50):
+    """(first byte, end byte, words) of every run of n words; a word said again at once counts once."""
+    words = []
+    for m in re.finditer(rb"[^\x20\x09-\x0D]+", text.encode()):
+        w = m[0].decode().translate(LOW)
+        if words and words[-1][2] == w:
+            words[-1][1] = m.end()
+        else:
+            words.append([m.start(), m.end(), w])
+    return [(words[i][0], words[i + n - 1][1], tuple(w for _, _, w in words[i : i + n])) for i in range(len(words) - n + 1)]
+
+
+def covered(spans, lo, hi):
+    """Whether the spans cover every byte but blanks between runs: here, whether one joined span holds lo to hi."""
+    at = lo
+    for s, e in sorted(spans):
+        if s <= at < e:
+            at = e
+    return at >= hi
+
+
+def check_word_runs(texts, rows):
+    """Of each run that occurs in several documents, exactly one document keeps it, if no line like its own goes anyway."""
+    gone, seen = defaultdict(list), defaultdict(lambda: defaultdict(list))
+    for r in rows:
+        if r["removed"]:
+            gone[r["doc_id"]].append((r["start"], r["end"]))
+    for d, t in texts.items():
+        for lo, hi, words in word_runs(t):
+            seen[words][d].append((lo, hi))
+    n = 0
+    for places in seen.values():
+        if len(places) > 1:
+            kept = [(d, lo, hi) for d, spans in places.items() for lo, hi in spans if not covered(gone[d], lo, hi)]
+            n += len(places) - 1
+            assert len(kept) <= 1
+    return n, seen, gone
+
+
+def test_word_runs(spark, sf_dir, texts):
+    """Word runs of 50, not lines: none is left in two documents, and what is left elsewhere holds what was removed."""
+    rows = QUERIES["op4_substring_dedup"](spark, sf_dir).collect()
+    n, seen, gone = check_word_runs(texts, rows)
+    assert n > 100
+    for r in rows:  # a removed stretch of runs is made of runs that another document has too
+        if r["removed"] and r["kind"] == "run":
+            raw = texts[r["doc_id"]].encode()[r["start"] : r["end"]].decode()
+            assert all(len(seen[w]) > 1 for _, _, w in word_runs(raw)) and r["n_words"] >= 50
+
+
+def test_passages_inside_lines(spark):
+    """Passages of 51 to 90 words: in the middle of other lines, wrapped anew, in other case; hosts share nothing else."""
+    rng = np.random.default_rng(8)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passages = [fresh(int(rng.integers(51, 91))) for _ in range(30)]
+    rows, planted = [], {}
+    for k, p in enumerate(passages):
+        for c in range(4):
+            before, after = fresh(int(rng.integers(0, 200))), fresh(int(rng.integers(0, 200)))
+            middle = [" ".join(p), " ".join(p).upper(), "\n".join(" ".join(p[i : i + 9]) for i in range(0, len(p), 9)), "  ".join(p)][c]
+            rows.append((4 * k + c, " ".join([*before, middle, *after])))
+            planted[4 * k + c] = (middle, before, after)
+    rows += [(1000 + i, " ".join(fresh(200)) + " again" * 80 + " " + " ".join(fresh(200))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in remove_repeats(docs).collect()}
+    for d, (middle, before, after) in planted.items():
+        assert left[d].split() == (before + (middle.split() if d % 4 == 0 else []) + after)
+    assert all(left[d] == t for d, t in rows if d >= 1000)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 40), st.integers(1, 12))
+def test_equal_runs_share_a_band(seed, run, vocabulary):
+    rng = np.random.default_rng(seed)
+    docs = [" ".join(f"w{x}" for x in rng.integers(0, vocabulary, n)) for n in rng.integers(0, 80, 4)]
+    data, edges = column_bytes(pa.array(docs))
+    r = Runs(data, edges, run, max(1, run // 3))
+    by_words, by_hash = {}, {}
+    for d, s, e, h, band in zip(r.doc.tolist(), r.start.tolist(), r.end.tolist(), r.hash.tolist(), r.band.tolist(), strict=True):
+        said = docs[d][s:e].split()
+        words = [w for i, w in enumerate(said) if not i or said[i - 1] != w]
+        assert len(words) == run
+        assert by_words.setdefault(tuple(words), (h, band)) == (h, band) and by_hash.setdefault(h, words) == words
+    assert len(r.doc) == sum(len(word_runs(t, run)) for t in docs)
+
+
 def test_tuning():
     for t in (0.5, 0.7, 0.8, 0.9):
         bands, rows = tune(t, 0.999)
