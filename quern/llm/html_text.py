@@ -3,13 +3,15 @@
 A page is read once into blocks: runs of text under one root-to-leaf path of block tags (with their classes; inline
 tags don't count). Menus, page headers, footers, asides, forms and parts whose class, id or role says so are no
 candidates. Text length without links and punctuation are summed per path and divided by the path's blocks; the two
-ratios are fused, smoothed over neighbouring blocks, and paths above the page's threshold are content, as are
-paragraphs that aren't links. The article or main element with most of it, or else the least container that holds all of
-it, gives the text; in it headings and short blocks count too, link lists don't.
+ratios are fused and smoothed over neighbouring blocks. Paths above the page's threshold are content, as are paragraphs
+that aren't links. The article or main element with most of it, or else the least container that holds all of it, is where
+the text stands; in it paths under the threshold count as well (headings, cells) unless most of their text is links. It is
+always the path that decides, for all of its blocks.
 
 Nulls: null html is an empty page and gives an empty text; ids and urls may be null; repeated rows stay; an empty table
 gives an empty result; further columns are ignored. Broken markup is read as far as it goes: an unclosed script or
-comment runs to the end, a '<' that begins no tag is text. Nothing is capped.
+comment runs to the end, a '<' that begins no tag is text. Nothing is capped, and the time grows with the page's length
+however deep, unclosed or unbalanced its markup is: paths are numbers, sums go up them once, and no part is scanned anew.
 """
 
 from __future__ import annotations
@@ -26,13 +28,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|textarea|title)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<[!?/a-zA-Z][^>]*+>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[>=]")
+_QUOTE = re.compile(r"=\s*([\"'])")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in ("script", "style", "textarea", "title")}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -50,10 +49,11 @@ HINTS = frozenset(
     " share sharing social follow subscribe subscription newsletter signup login signin register cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall"
     " search pagination pager paging toolbar widget widgets copyright legal disclaimer skip hidden complementary contentinfo form dialog tags tagcloud".split()
 )
+_NO_CONTAINER = HEADINGS | frozenset("p li ul ol blockquote pre dl dd dt td tr th tbody table figcaption".split())
 NOT_ITSELF = frozenset("no non not has have with without is".split())
 OF_ARTICLE = frozenset("article post entry story content".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_SIBLINGS = {"li": ("li", ("ul", "ol")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "tbody": ("thead tbody tr td th", ("table",)), "option": ("option", ("select",))}
+_SIBLINGS = {"li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tbody": (("thead", "tbody", "tr", "td", "th"), ("table",)), "option": (("option",), ("select",))}
 
 
 def _is_boilerplate(name: str, attributes: str, in_article: bool) -> bool:
@@ -75,10 +75,100 @@ def _is_boilerplate(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
-    """(path, text, characters in links, boilerplate) of each block in page order."""
-    out: list[tuple[tuple[str, ...], str, int, bool]] = []
-    stack: list[tuple[str, str, bool]] = []  # name, label, boilerplate
+class Scanner:
+    """Tags of a page from left to right, in time that grows with its length: nothing is looked at anew.
+
+    Quotes count where a value may stand, after '='. Once a tag finds no end that way, quotes don't count any more.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.quotes = True
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag that goes on at ``at`` ends (its '>'), or -1: no tag ends any more."""
+        page = self.page
+        if not self.quotes:
+            return page.find(">", at)
+        p = at
+        while m := _STOP.search(page, p):
+            if m[0] == ">":
+                return m.start()
+            q = _QUOTE.match(page, m.start())
+            if not q:
+                p = m.end()
+                continue
+            close = page.find(q[1], q.end())
+            if close < 0:
+                break
+            p = close + 1
+        self.quotes = False
+        return page.find(">", at)
+
+    def tags(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name, whether it closes, attributes); comments, declarations and raw text have no name."""
+        page, at = self.page, 0
+        while (start := page.find("<", at)) >= 0:
+            at = start + 1
+            if page.startswith("!--", at):
+                end = page.find("-->", at + 3)
+                end = len(page) if end < 0 else end + 3
+                yield start, end, "", False, ""
+                at = end
+                continue
+            closes = page.startswith("/", at)
+            m = _NAME.match(page, at + closes)
+            if not m and page[at : at + 1] not in ("!", "?", "/"):
+                continue
+            end = self.tag_end(m.end() if m else at)
+            if end < 0:
+                return
+            end += 1
+            name = m[0].lower() if m else ""
+            if name in _RAW_END and not closes:
+                close = _RAW_END[name].search(page, end)
+                close = close.start() if close else len(page)
+                end = page.find(">", close) + 1 or len(page)
+                name = ""
+            yield start, end, name, closes, page[m.end() : end - 1] if name else ""
+            at = end
+
+
+class Paths:
+    """Tag paths as numbers: 0 is the empty path, parents have lesser numbers than their children."""
+
+    def __init__(self) -> None:
+        self.parent, self.name, self.label, self.depth = [-1], [""], [""], [0]
+        self._known: dict[tuple[int, str], int] = {}
+
+    def child(self, parent: int, name: str, label: str) -> int:
+        n = self._known.setdefault((parent, label), len(self.parent))
+        if n == len(self.parent):
+            self.parent.append(parent)
+            self.name.append(name)
+            self.label.append(label)
+            self.depth.append(self.depth[parent] + 1)
+        return n
+
+    def inherit(self, own: list) -> list:
+        """Whether a path or one above it is marked."""
+        for n in range(1, len(own)):
+            own[n] = own[n] or own[self.parent[n]]
+        return own
+
+    def totals(self, own: list) -> list:
+        """The sum over each path and all below it."""
+        for n in range(len(own) - 1, 0, -1):
+            own[self.parent[n]] += own[n]
+        return own
+
+
+def blocks(page: str) -> tuple[Paths, list[tuple[int, str, int, bool]]]:
+    """The page's paths, and (path, text, characters in links, boilerplate) of each block in page order."""
+    out: list[tuple[int, str, int, bool]] = []
+    paths = Paths()
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, path, boilerplate
+    opened: dict[str, list[int]] = defaultdict(list)  # places in the stack by name
     parts: list[str] = []
     links = in_link = 0
 
@@ -88,62 +178,62 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
             text = "".join(parts)
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                out.append((tuple(x[1] for x in stack), text, min(links, len(text)), bool(stack) and stack[-1][2]))
+                out.append((stack[-1][1], text, min(links, len(text)), stack[-1][2]))
             parts.clear()
         links = 0
 
     def pop(n: int) -> None:
         close()
+        for name, _, _ in stack[n:]:
+            opened[name].pop()
         del stack[n:]
 
+    def last(names) -> int:
+        return max((opened[x][-1] for x in names if opened[x]), default=0)
+
     at = 0
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
+    for start, end, name, closes, attributes in Scanner(page).tags():
+        if start > at:
+            parts.append(page[at:start])
             if in_link:
-                links += m.start() - at
-        at = m.end()
-        name = m[3]
-        if name is None:
+                links += start - at
+        at = end
+        if not name:
             continue
-        name = name.lower()
         if name in INLINE:
             if name == "a":
-                in_link = 0 if m[2] else 1
+                in_link = 0 if closes else 1
             elif name == "br":
                 parts.append(" ")
             continue
         in_link = 0
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
+        if closes:
+            if k := last((name,)):
+                pop(k)
             else:
                 close()
             continue
-        if name in _CLOSES_P and stack and stack[-1][0] == "p":
+        if name in _CLOSES_P and stack[-1][0] == "p":
             pop(len(stack) - 1)
         elif name in _SIBLINGS:
             ends, within = _SIBLINGS[name]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in within:
-                    break
-                if stack[k][0] in ends.split():
-                    pop(k)
-                    break
-        elif name == "body":
-            pop(next((k for k, x in enumerate(stack) if x[0] == "head"), len(stack)))
+            # the nearest table or list holds; inside it, the outermost part that this one ends
+            bound = last(within)
+            k = next((x for e in ends for x in reversed(opened[e]) if x > bound), 0) if name in ("li", "option") else min((x for e in ends for x in opened[e][-1:] if x > bound), default=0)
+            if k:
+                pop(k)
+        elif name == "body" and opened["head"]:
+            pop(opened["head"][0])
         close()
         if name not in VOID:
-            attributes = m[4] or ""
-            flag = bool(stack) and stack[-1][2] or _is_boilerplate(name, attributes, any(x[0] in ("article", "main") for x in stack))
+            flag = stack[-1][2] or _is_boilerplate(name, attributes, bool(opened["article"] or opened["main"]))
             kind = re.search(r"\bclass\s*=\s*[\"']?([^\"'>]*)", attributes, re.I) if attributes else None
-            stack.append((name, f"{name}.{'.'.join(kind[1].split())}" if kind else name, flag))
+            opened[name].append(len(stack))
+            stack.append((name, paths.child(stack[-1][1], name, f"{name}.{'.'.join(kind[1].split())}" if kind else name), flag))
     if at < len(page):
         parts.append(page[at:])
     close()
-    return out
+    return paths, out
 
 
 def _smooth(x: list[float]) -> list[float]:
@@ -156,49 +246,64 @@ def _smooth(x: list[float]) -> list[float]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    found = [b for b in blocks(page or "") if not b[3]]
-    if not found:
-        return ""
-    sums: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0, 0])
+def path_scores(found: list[tuple[int, str, int, bool]]) -> dict[int, float]:
+    """Text length and punctuation of each path by its blocks, fused, and smoothed over the blocks' neighbours."""
+    sums: dict[int, list[float]] = defaultdict(lambda: [0, 0, 0])
     for path, text, links, _ in found:
         s = sums[path]
         s[0] += 1
         s[1] += len(text) - links
         s[2] += len(_PUNCTUATION.findall(text))
     fused = {p: (length / n) * math.sqrt(1 + marks / n) for p, (n, length, marks) in sums.items()}
-    smooth = _smooth([fused[b[0]] for b in found])
-    score: dict[tuple[str, ...], float] = defaultdict(float)
-    for (path, *_), s in zip(found, smooth, strict=True):
+    score: dict[int, float] = defaultdict(float)
+    for (path, *_), s in zip(found, _smooth([fused[b[0]] for b in found]), strict=True):
         score[path] += math.sqrt(s * fused[path]) / sums[path][0]
+    return score
+
+
+def main_text(page: str | None) -> str:
+    paths, found = blocks(page or "")
+    found = [b for b in found if not b[3]]
+    if not found:
+        return ""
+    score = path_scores(found)
     mean = sum(score.values()) / len(score)
     spread = math.sqrt(sum((x - mean) ** 2 for x in score.values()) / len(score))
     limit = min(max(score.values()), max(mean, spread))
-    content = {p for p, x in score.items() if x >= limit}
     # paragraphs that aren't links belong to the text whatever their score
-    content |= {path for path, text, links, _ in found if path and path[-1].split(".")[0] == "p" and 2 * links <= len(text)}
+    paragraphs = {path for path, text, links, _ in found if paths.name[path] == "p" and 2 * links <= len(text)}
+    content = {p for p, x in score.items() if x >= limit} | paragraphs
     # the article or main element with most of the content, or else the least container of all content
-    weight: dict[tuple[str, ...], int] = defaultdict(int)
-    total = 0
+    length = [0] * len(paths.parent)
     for path, text, links, _ in found:
         if path in content:
-            total += len(text) - links
-            for k in range(len(path) + 1):
-                weight[path[:k]] += len(text) - links
-    bodies = [p for p, x in weight.items() if p and p[-1].split(".")[0] in ("article", "main") and 2 * x > total]
-    in_body = bool(bodies)
-    container = max(bodies, key=lambda p: (weight[p], -len(p))) if bodies else max((p for p, x in weight.items() if x >= total and all(c[: len(p)] == p for c in content)), key=len)
-    while container and container[-1].split(".")[0] in HEADINGS | {"p", "li", "ul", "ol", "blockquote", "pre", "dl", "dd", "dt", "td", "tr", "th", "tbody", "table", "figcaption"}:
-        container = container[:-1]
-    n, began, keep = len(container), False, []
+            length[path] += len(text) - links
+    total = sum(length)
+    weight, within = paths.totals(length), paths.totals([int(n in content) for n in range(len(paths.parent))])
+    bodies = [n for n, x in enumerate(weight) if paths.name[n] in ("article", "main") and 2 * x > total]
+    if bodies:
+        container = max(bodies, key=lambda n: (weight[n], -paths.depth[n]))
+    else:
+        container = max((n for n, x in enumerate(weight) if x >= total and within[n] == len(content)), key=lambda n: paths.depth[n])
+    while paths.name[container] in _NO_CONTAINER:
+        container = paths.parent[container]
+    inside = paths.inherit([n == container for n in range(len(paths.parent))])
+    # in it, paths under the threshold count as well (headings, lists, cells) unless they are mostly links
+    share: dict[int, int] = defaultdict(int)
     for path, text, links, _ in found:
-        if path[:n] == container:
+        share[path] += len(text) - 2 * links
+    kept = content | {p for p, x in share.items() if x >= 0 or bodies and paths.name[p] == "p"}
+    began, keep = False, []
+    depth = paths.depth[container]
+    of_article = paths.inherit([paths.depth[n] >= depth and not OF_ARTICLE.isdisjoint(_WORD.findall(paths.label[n].lower())) for n in range(len(paths.parent))])
+    for path, text, _, _ in found:
+        if inside[path]:
             began = True
-            if path in content or 2 * links <= len(text) or in_body and path[-1].split(".")[0] == "p":
+            if path in kept:
                 keep.append(text)
-        elif not began and n and path[-1:] and path[-1].split(".")[0] in ("h1", "h2"):
+        elif not began and container and paths.name[path] in ("h1", "h2"):
             # the article's title may stand beside its body, or before it in a part of its own
-            if path[:-1] == container[:-1] or not OF_ARTICLE.isdisjoint(_WORD.findall(" ".join(path[n - 1 : -1]).lower())):
+            if paths.parent[path] == paths.parent[container] or of_article[paths.parent[path]]:
                 keep.append(text)
     return " ".join(keep)
 

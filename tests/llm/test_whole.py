@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -58,3 +59,37 @@ def test_sections_of_other_classes(page):
     lead, body = paragraphs(1, 200, "lead"), paragraphs(8, 400, "body")
     got = main_text("<html><body><nav><a href=x>menu</a></nav>" + page.format(lead=lead[0], body="".join(f"<p>{x}</p>" for x in body)) + "<footer>imprint</footer></body></html>")
     assert all(x.strip() in got for x in lead + body) and "menu" not in got and "imprint" not in got
+
+
+BROKEN = {
+    "nested, unclosed": "<div>x, y. ",
+    "one class each": "<div class=c>t, and. <p class='x y'>z ",
+    "unclosed quotes": '<a "x ',
+    "quoted ends": '<a x=">" ',
+    "no end at all": "<script ",
+    "items": "<ul><li><ul><div><li>a, b</li>",
+    "closed twice": "<div>a, b.</div></div></p>",
+    "cells": "<td>x, y.<table><tr>",
+    "comments": "<!-- x ",
+    "equals signs": "<a = = ",
+    "angles": "< <",
+}
+
+
+@pytest.mark.parametrize("kind", sorted(BROKEN))
+def test_broken_markup_takes_time_by_length(kind):
+    unit = BROKEN[kind]
+    took = []
+    for size in (250_000, 1_000_000):
+        began = time.perf_counter()
+        main_text(unit * (size // len(unit)))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 and took[1] < 12 * took[0] + 0.5  # four times the length; quadratic time would be sixteen times
+
+
+def test_path_decides_for_all_its_blocks():
+    body = "".join(f"<p>{x}</p>" for x in paragraphs(6, 300, "body"))
+    links = "".join(f"<li><a href=x>link {i}</a></li>" for i in range(9))
+    cells = "".join(f"<tr><td>{i}</td><td>cell {i}</td></tr>" for i in range(4))
+    got = main_text(f"<div class=text><h2>Head</h2>{body}<ul class=more>{links}</ul><table>{cells}</table></div><div class=x><ul>{links}</ul></div>")
+    assert got.startswith("Head body0,") and "link" not in got and got.endswith("3 cell 3")
