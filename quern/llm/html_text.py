@@ -217,9 +217,9 @@ def blocks(page: str) -> tuple[Paths, list[tuple[int, str, int, bool]]]:
             pop(len(stack) - 1)
         elif name in _SIBLINGS:
             ends, within = _SIBLINGS[name]
-            # the nearest table or list holds; inside it, the outermost part that this one ends
+            # inside the nearest table or list, the outermost of the parts that this one ends
             bound = last(within)
-            k = next((x for e in ends for x in reversed(opened[e]) if x > bound), 0) if name in ("li", "option") else min((x for e in ends for x in opened[e][-1:] if x > bound), default=0)
+            k = min((opened[e][-1] for e in ends if opened[e] and opened[e][-1] > bound), default=0)
             if k:
                 pop(k)
         elif name == "body" and opened["head"]:
