@@ -94,7 +94,40 @@ def test_windows(sizes, capacity, cut):
             at += n
         assert at == s
     if cut:
-        assert len(got) <= sum(s // capacity for s in sizes) + -(-sum(s % capacity for s in sizes) // capacity)
+        least = sum(s // capacity for s in sizes) + -(-sum(s % capacity for s in sizes) // capacity)
+        assert len(got) <= least + least // 128 + 1
+
+
+@pytest.mark.parametrize("sizes", [[2100] * 3000, [2049] * 2000 + [700] * 1000, [4095] * 1000, [1366] * 999, [5] * 40, [3000, 2500, 2690], list(range(1, 4000, 3))])
+def test_little_padding_whatever_the_sizes(sizes):
+    got = windows(np.array(sizes), 4096)
+    assert max(sum(x[2] for x in w) for w in got) <= 4096 and sum(x[2] for w in got for x in w) == sum(sizes)
+    assert len(got) - sum(sizes) / 4096 < max(1, 0.01 * len(got)) + 0.5
+
+
+def test_packing_against_the_library(spark, sf_dir, texts):
+    """Every piece of the whole query: its checksum by the library's own ids, coverage without a gap, offsets, padding."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_str(tokenizer_json())
+    ids = {d: np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4") for d, t in texts.items()}
+    rows = QUERIES["op9_kk_packing"](spark, sf_dir).collect()
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(part) == r["length"] > 0 and zlib.crc32(part.tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(ids[r["doc_id"]])
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert pieces.keys() == texts.keys()
+    for d, spans in pieces.items():
+        spans.sort()
+        assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, [*spans[1:], (len(ids[d]), 0)], strict=True))
+    for spans in sequences.values():
+        spans.sort()
+        assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans[:-1], spans[1:], strict=True)) and sum(n for _, n in spans) <= 4096
+    total = sum(map(len, ids.values()))
+    units = spark.read.parquet(f"{sf_dir}/documents.parquet").rdd.getNumPartitions()
+    assert len(sequences) <= total / 4096 * 1.01 + 2 * units
 
 
 def test_difference_is_near_equal():
