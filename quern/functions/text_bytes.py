@@ -234,9 +234,67 @@ def codec_for(entropy: Column) -> Column:
     return F.when(entropy > 0.95, "none").when(entropy > 0.7, "lz4").when(entropy > 0.3, "zstd3").otherwise("zstd19")
 
 
-@query("SELECT p_partkey, CASE WHEN e > 0.95 THEN 'none' WHEN e > 0.7 THEN 'lz4' WHEN e > 0.3 THEN 'zstd3' ELSE 'zstd19' END AS codec FROM (SELECT p_partkey, p_size / 50.0 AS e FROM part)")
+#: DuckDB's form of ``entropy`` over the documents.
+ENTROPY_SQL = """x AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '[^\\x20-\\x7e]', '', 'g'), '')) AS ch FROM documents), c AS (SELECT doc_id, ch, count(*) AS n FROM x WHERE ch <> '' GROUP BY ALL), t AS (SELECT doc_id, sum(n) AS t FROM c GROUP BY 1),
+e AS (SELECT doc_id, round(-sum(n / t * log2(n / t)) / 8, 6) + 0.0 AS e FROM c JOIN t USING (doc_id) GROUP BY 1)"""
+
+
+@query(f"WITH {ENTROPY_SQL} SELECT doc_id, CASE WHEN e > 0.95 THEN 'none' WHEN e > 0.7 THEN 'lz4' WHEN e > 0.3 THEN 'zstd3' ELSE 'zstd19' END AS codec FROM e")
 def compression_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.load(spark, sf_dir, "part").select("p_partkey", codec_for(F.col("p_size") / 50.0).alias("codec"))
+    """The codec for each text by the entropy of its own characters."""
+    d = tables.load(spark, sf_dir, "documents").select("doc_id", F.round(entropy("text"), 6).alias("e")).where("e is not null")
+    return d.select("doc_id", codec_for(F.col("e")).alias("codec"))
+
+
+def rejoined(chunks: DataFrame, docs: DataFrame, key: str, text: str, least: int, most: int) -> DataFrame:
+    """(key, digest, n_bytes, whole): the pieces that a chunker cut, put together again.
+
+    whole: they follow each other without a gap, none is over ``most`` bytes, and none but the last under ``least``.
+    """
+    parts = chunks.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("idx", "offset", "length"))).alias("p"))
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.encode(text, "UTF-8").alias("raw")).join(parts, "key")
+    joined = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(F.substring(F.col("raw"), (x["offset"] + 1).cast("int"), x["length"].cast("int")))), ""))
+    n = F.size("p")
+    in_order = F.forall(F.sequence(F.lit(1), n), lambda i: F.element_at("p", i)["offset"] == F.when(i > 1, F.element_at(F.col("p"), F.greatest(i - 1, F.lit(1)))["offset"] + F.element_at(F.col("p"), F.greatest(i - 1, F.lit(1)))["length"]).otherwise(0))
+    sized = F.forall("p", lambda x: (x["length"] <= most) & ((x["length"] >= least) | (x["idx"] == n - 1)))
+    return rows.select("key", F.sha2(joined, 256).alias("digest"), F.octet_length("raw").cast("long").alias("n_bytes"), (in_order & sized).alias("whole"))
+
+
+WHOLE_SQL = "SELECT doc_id AS key, sha256(text) AS digest, octet_length(encode(text)) AS n_bytes, true AS whole FROM documents WHERE length(text) > 0"
+
+
+@query(WHOLE_SQL)
+def seqcdc_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rejoined(seqcdc_chunks(spark, sf_dir), tables.load(spark, sf_dir, "documents"), "doc_id", "text", 256, 4096)
+
+
+@query(WHOLE_SQL)
+def buzhash_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rejoined(buzhash_chunks(spark, sf_dir), tables.load(spark, sf_dir, "documents"), "doc_id", "text", 256, 4096)
+
+
+@query(WHOLE_SQL)
+def hierarchical_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rejoined(hierarchical_chunks(spark, sf_dir), tables.load(spark, sf_dir, "documents"), "doc_id", "text", 1, 1024)
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS zlib, sha256(coalesce(text, '')) AS zstd FROM documents")
+def codec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what comes back from each codec."""
+    @F.pandas_udf("struct<zlib: string, zstd: string>")
+    def back(text: pd.Series) -> pd.DataFrame:
+        import zlib
+
+        import zstandard
+
+        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        raw = [(t or "").encode() for t in text]
+        return pd.DataFrame({
+            "zlib": [hashlib.sha256(zlib.decompress(zlib.compress(r))).hexdigest() for r in raw],
+            "zstd": [hashlib.sha256(unpack.decompress(pack.compress(r), max_output_size=len(r) + 1)).hexdigest() for r in raw],
+        })
+
+    return tables.load(spark, sf_dir, "documents").select("doc_id", back("text").alias("s")).select("doc_id", "s.*")
 
 
 @query()
@@ -409,7 +467,14 @@ def tensor_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", "shard", (F.round(F.aggregate("part", F.lit(0.0), lambda a, x: a + x.cast("double")), 4) + 0.0).alias("total"))
 
 
-@query("SELECT vec_id, CASE WHEN score > 0.6 THEN 'neural' WHEN score > 0.3 THEN 'zstd' ELSE 'raw' END AS codec FROM (SELECT vec_id, (vec_id % 100) / 100.0 AS score FROM embeddings)")
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), r AS (SELECT vec_id, list_sum(list_transform(generate_series(2, len(e)), lambda i: abs(e[i] - e[i - 1]))) / greatest(len(e) - 1, 1) AS step, list_max(e) - list_min(e) AS width FROM v),
+s AS (SELECT vec_id, round(CASE WHEN width > 0 THEN 1 - step / width ELSE 1 END, 6) AS score FROM r) SELECT vec_id, score, CASE WHEN score > 0.75 THEN 'lossy' WHEN score > 0.65 THEN 'zstd' ELSE 'raw' END AS codec FROM s""")
 def adaptive_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = (F.col("vec_id") % 100) / 100.0
-    return tables.load(spark, sf_dir, "embeddings").select("vec_id", F.when(score > 0.6, "neural").when(score > 0.3, "zstd").otherwise("raw").alias("codec"))
+    """A codec for each vector by how smooth it is: one less its mean step over its range, both measured on the vector."""
+    e = tables.load(spark, sf_dir, "embeddings").withColumn("e", F.transform("embedding", lambda x: x.cast("double")))
+    n = F.size("e")
+    steps = F.zip_with(F.slice("e", F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice("e", F.lit(1), F.greatest(n - 1, F.lit(0))), lambda a, b: F.abs(a - b))
+    step = F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / F.greatest(n - 1, F.lit(1))
+    width = F.array_max("e") - F.array_min("e")
+    score = F.round(F.when(width > 0, 1 - step / width).otherwise(1.0), 6)
+    return e.select("vec_id", score.alias("score")).withColumn("codec", F.when(F.col("score") > 0.75, "lossy").when(F.col("score") > 0.65, "zstd").otherwise("raw"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import tables
+from ..functions.text_bytes import ENTROPY_SQL
 from ..registry import query
 
 A, C, E, R = tables.ACCESS_SQL, tables.CHUNKS_SQL, tables.EDGES_SQL, tables.REPLICAS_SQL
@@ -262,13 +263,13 @@ def extension_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.crossJoin(F.broadcast(total)).select("ext", "n", "bytes", F.round(100.0 * F.col("bytes") / F.col("total"), 4).alias("percent"), "largest")
 
 
-@query("""SELECT source, count(*) AS files, CAST(sum(n) AS BIGINT) AS total, round(avg(ratio), 6) AS avg_ratio, CASE WHEN avg(ratio) > 0.95 THEN 'none' WHEN avg(ratio) > 0.7 THEN 'lz4' WHEN avg(ratio) > 0.3 THEN 'zstd3' ELSE 'zstd19' END AS hint,
-CASE WHEN sum(n) < 1048576 THEN 65536 WHEN sum(n) < 1073741824 THEN 1048576 ELSE 4194304 END AS chunk_size FROM (SELECT source, octet_length(encode(text)) AS n, (doc_id % 100) / 100.0 AS ratio FROM documents) GROUP BY 1""")
+@query(f"""WITH {ENTROPY_SQL} SELECT source, count(*) AS files, CAST(sum(n) AS BIGINT) AS total, round(avg(ratio), 6) AS avg_ratio, CASE WHEN avg(ratio) > 0.95 THEN 'none' WHEN avg(ratio) > 0.7 THEN 'lz4' WHEN avg(ratio) > 0.3 THEN 'zstd3' ELSE 'zstd19' END AS hint,
+CASE WHEN sum(n) < 1048576 THEN 65536 WHEN sum(n) < 1073741824 THEN 1048576 ELSE 4194304 END AS chunk_size FROM (SELECT source, octet_length(encode(text)) AS n, e.e AS ratio FROM documents LEFT JOIN e USING (doc_id)) GROUP BY 1""")
 def payload_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per source: files, bytes, mean entropy score, and the codec and chunk size that follow."""
-    from ..functions.text_bytes import codec_for
+    """Per source: files, bytes, mean entropy, and the codec and chunk size that follow."""
+    from ..functions.text_bytes import codec_for, entropy
 
-    d = tables.load(spark, sf_dir, "documents").select("source", F.octet_length("text").cast("long").alias("n"), ((F.col("doc_id") % 100) / 100.0).alias("ratio"))
+    d = tables.load(spark, sf_dir, "documents").select("source", F.octet_length("text").cast("long").alias("n"), F.round(entropy("text"), 6).alias("ratio"))
     g = d.groupBy("source").agg(F.count("*").alias("files"), F.sum("n").alias("total"), F.avg("ratio").alias("r"))
     size = F.when(F.col("total") < 1 << 20, 65536).when(F.col("total") < 1 << 30, 1 << 20).otherwise(4 << 20)
     return g.select("source", "files", "total", F.round("r", 6).alias("avg_ratio"), codec_for(F.col("r")).alias("hint"), size.alias("chunk_size"))

@@ -87,7 +87,8 @@ def rebalance_first_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy_rebalance(edges: DataFrame, high: float = 0.8, low: float = 0.3, step: float = 0.1, most: int = 100) -> DataFrame:
     """Moves from the fullest to the emptiest edge while both are out of bounds.
 
-    Loads change with each move, so it is one sequential fold; its input is the fleet's edges, a bounded table.
+    Loads change with each move, so it is one sequential fold. In ``most`` moves no more than ``most`` edges of either end
+    can take part, so the fold gets those alone, whatever the fleet's size.
     """
     def plan(pdf):
         import pandas as pd
@@ -104,7 +105,8 @@ def greedy_rebalance(edges: DataFrame, high: float = 0.8, low: float = 0.3, step
             load[dst] += step
         return pd.DataFrame(out, columns=["move", "src", "dst", "benefit"])
 
-    return edges.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(plan, "move long, src long, dst long, benefit double")
+    both = edges.where(F.col("load") > high).orderBy(F.desc("load"), "edge").limit(most).unionByName(edges.where(F.col("load") < low).orderBy("load", "edge").limit(most))
+    return both.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(plan, "move long, src long, dst long, benefit double")
 
 
 @query()
@@ -254,22 +256,8 @@ def shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("chunk", "shard", F.element_at(domains, (F.pmod(F.col("chunk") + F.col("shard"), F.lit(5)) + 1).cast("int")).alias("domain"))
 
 
-@query(f"""WITH {R}, {E}, h AS (SELECT chunk, list(DISTINCT edge % 8) AS domains FROM replicas JOIN edges USING (edge) GROUP BY 1), s AS (SELECT h.chunk, e.edge, (CASE WHEN list_contains(domains, e.edge % 8) THEN 0 ELSE 100 END) + (CASE WHEN e.edge % 5 = 0 THEN 50 ELSE 0 END) + (CASE WHEN e.load < 0.8 THEN 25 ELSE 0 END) + (100 - least(rtt_us / 1000, 100)) / 10 AS score FROM h, (SELECT * FROM edges WHERE online AND edge <= 40) e WHERE h.chunk <= 200)
-SELECT chunk, arg_max(edge, (score, -edge)) AS target, round(max(score), 4) AS score FROM s GROUP BY 1""")
-def repair_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best edge for a new copy: +100 for a new domain, +50 local, +25 with room, and up to 10 for latency.
-
-    The candidates are one rack's edges and a batch of chunks to repair; neither grows with the data.
-    """
-    edges = tables.edges(spark, sf_dir)
-    held = tables.replicas(spark, sf_dir).where("chunk <= 200").join(edges.select("edge"), "edge").groupBy("chunk").agg(F.collect_set(F.col("edge") % 8).alias("domains"))
-    s = held.crossJoin(F.broadcast(edges.where("online and edge <= 40")))
-    score = F.when(F.array_contains("domains", F.col("edge") % 8), 0).otherwise(100) + F.when(F.col("edge") % 5 == 0, 50).otherwise(0) + F.when(F.col("load") < 0.8, 25).otherwise(0) + (100 - F.least(F.col("rtt_us") / 1000, F.lit(100.0))) / 10
-    return s.withColumn("score", score).groupBy("chunk").agg(F.max_by("edge", F.struct("score", -F.col("edge"))).alias("target"), F.round(F.max("score"), 4).alias("score"))
-
-
 def repair_targets(replicas: DataFrame, edges: DataFrame) -> DataFrame:
-    """(chunk, target, score): each held chunk's best online edge, scored as in ``repair_target``.
+    """(chunk, target, score): each held chunk's best online edge: +100 for a new domain, +50 local, +25 with room, and up to 10 for latency.
 
     A score depends on the chunk only through whether it has a copy in the edge's domain, so each domain's best edge for
     either case stands for all of it: no chunk meets more than one row a domain.
@@ -288,7 +276,7 @@ def repair_targets(replicas: DataFrame, edges: DataFrame) -> DataFrame:
 
 @query(f"""WITH {R}, {E}, h AS (SELECT chunk, list(DISTINCT edge % 8) AS domains FROM replicas JOIN edges USING (edge) GROUP BY 1), s AS (SELECT h.chunk, e.edge, (CASE WHEN list_contains(domains, e.edge % 8) THEN 0 ELSE 100 END) + (CASE WHEN e.edge % 5 = 0 THEN 50 ELSE 0 END) + (CASE WHEN e.load < 0.8 THEN 25 ELSE 0 END) + (100 - least(rtt_us / 1000, 100)) / 10 AS score FROM h, (SELECT * FROM edges WHERE online) e)
 SELECT chunk, arg_max(edge, (score, -edge)) AS target, round(max(score), 4) AS score FROM s GROUP BY 1""")
-def repair_target_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def repair_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best online edge for a new copy of every chunk."""
     return repair_targets(tables.replicas(spark, sf_dir), tables.edges(spark, sf_dir))
 

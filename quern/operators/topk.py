@@ -30,11 +30,13 @@ def k_cheapest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {E} SELECT edge, round(health, 6) AS health, rank() OVER (ORDER BY round(health, 6) DESC) AS rank FROM edges")
 def rank_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks by score; equal scores share a rank, counted from the few distinct scores."""
+    """Ranks by score; equal scores share the rank of their first. Places come from sorted ranges, never from one task."""
+    from .joins import numbered
+
     e = tables.edges(spark, sf_dir).select("edge", F.round("health", 6).alias("health"))
-    n = e.groupBy("health").agg(F.count("*").alias("n"))
-    ranks = n.withColumn("rank", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("health")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
-    return e.join(F.broadcast(ranks.select("health", "rank")), "health").select("edge", "health", "rank")
+    placed = numbered(e.withColumn("at", F.struct((-F.col("health")).alias("score"), "edge")), "at")
+    ranks = placed.groupBy("health").agg(F.min("pos").cast("long").alias("rank"))
+    return e.join(ranks, "health").select("edge", "health", "rank")
 
 
 @query(f"WITH {E} SELECT edge, rtt_us FROM edges ORDER BY CASE WHEN edge % 10 = 0 THEN rtt_us - 10000 ELSE rtt_us END, edge LIMIT 15")

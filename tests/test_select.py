@@ -6,40 +6,40 @@ import pytest
 
 from quern.plans.select import CsvInput, JsonInput, Parser, ScanRange, SelectRequest, compat, select, write_csv, write_json
 
-CSV = "name,age,city\nAlice,30,NYC\nBob,25,LA\nCharlie,35,Chicago\n"
+RIVERS = "river,km,mouth\nOder,840,Baltic\nEms,362,North Sea\nInn,518,Danube\nSpree,400,Havel\n"
 
 
 @pytest.fixture()
 def csv(tmp_path):
-    p = tmp_path / "people.csv"
-    p.write_text(CSV)
+    p = tmp_path / "rivers.csv"
+    p.write_text(RIVERS)
     return str(p)
 
 
 @pytest.fixture()
 def lines(tmp_path):
-    p = tmp_path / "people.json"
-    p.write_text('{"name":"Alice","age":30}\n\n{"name":"Bob","age":25}\n{"name":"Charlie","age":35}\n')
+    p = tmp_path / "rivers.json"
+    p.write_text('{"river":"Oder","km":840}\n\n{"river":"Ems","km":362}\n{"river":"Inn","km":518}\n')
     return str(p)
 
 
 @pytest.mark.parametrize("mode", ["strict", "compat"])
 def test_csv(spark, csv, mode):
-    r = SelectRequest("SELECT name, city FROM s3object WHERE age > 26", CsvInput("USE"), mode)
-    assert [tuple(x) for x in select(spark, csv, r).collect()] == [("Alice", "NYC"), ("Charlie", "Chicago")]
+    r = SelectRequest("SELECT mouth, river FROM s3object WHERE km < 500", CsvInput("USE"), mode)
+    assert [tuple(x) for x in select(spark, csv, r).collect()] == [("North Sea", "Ems"), ("Havel", "Spree")]
 
 
 def test_csv_headers(spark, csv):
     none = select(spark, csv, SelectRequest("SELECT _1 FROM s3object", CsvInput("NONE"), "compat")).collect()
-    skip = select(spark, csv, SelectRequest("SELECT _1 FROM s3object WHERE _2 < 31", CsvInput("IGNORE"), "compat")).collect()
-    assert [x[0] for x in none] == ["name", "Alice", "Bob", "Charlie"]
-    assert [x[0] for x in skip] == ["Alice", "Bob"]
+    skip = select(spark, csv, SelectRequest("SELECT _1 FROM s3object WHERE _2 >= 518", CsvInput("IGNORE"), "compat")).collect()
+    assert [x[0] for x in none] == ["river", "Oder", "Ems", "Inn", "Spree"]
+    assert [x[0] for x in skip] == ["Oder", "Inn"]
 
 
 @pytest.mark.parametrize("mode", ["strict", "compat"])
 def test_json_lines(spark, lines, mode):
-    r = SelectRequest("SELECT * FROM s3object WHERE age > 28", JsonInput(), mode)
-    assert sorted(x["name"] for x in select(spark, lines, r).collect()) == ["Alice", "Charlie"]
+    r = SelectRequest("SELECT * FROM s3object WHERE km < 600", JsonInput(), mode)
+    assert sorted(x["river"] for x in select(spark, lines, r).collect()) == ["Ems", "Inn"]
 
 
 def test_json_document(spark, tmp_path):
@@ -50,13 +50,13 @@ def test_json_document(spark, tmp_path):
 
 
 def test_limit_keeps_file_order(spark, csv):
-    r = SelectRequest("SELECT name FROM s3object LIMIT 2", CsvInput("USE"), "compat")
-    assert [x[0] for x in select(spark, csv, r).collect()] == ["Alice", "Bob"]
+    r = SelectRequest("SELECT river FROM s3object LIMIT 3", CsvInput("USE"), "compat")
+    assert [x[0] for x in select(spark, csv, r).collect()] == ["Oder", "Ems", "Inn"]
 
 
 def test_scan_range(spark, csv):
-    r = SelectRequest("SELECT _1 FROM s3object", CsvInput("NONE"), "compat", ScanRange(14, 27))
-    assert [x[0] for x in select(spark, csv, r).collect()] == ["Alice"]
+    r = SelectRequest("SELECT _1 FROM s3object", CsvInput("NONE"), "compat", ScanRange(15, 31))
+    assert [x[0] for x in select(spark, csv, r).collect()] == ["Oder"]
     r.scan_range = ScanRange(9, 3)
     assert select(spark, csv, r).collect() == []
 

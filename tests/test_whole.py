@@ -10,7 +10,7 @@ from quern.registry import QUERIES
 
 def test_archive_takes_all_documents(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r["text"]}
-    got = {r["doc_id"]: (r["digest"], r["n_chunks"]) for r in QUERIES["archive_round_trip_all"](spark, sf_dir).collect()}
+    got = {r["doc_id"]: (r["digest"], r["n_chunks"]) for r in QUERIES["archive_round_trip"](spark, sf_dir).collect()}
     assert got == {i: (hashlib.sha256(t.encode()).hexdigest(), -(-len(t) // 1024)) for i, t in docs.items()}
 
 
@@ -38,8 +38,8 @@ def test_repair_takes_all_chunks_and_edges(spark):
         peers = sorted((e for e in edges if figures(e)[3] and e not in own), key=lambda e: (-figures(e)[0], e))
         want_copies |= {(c, e) for e in peers[: max(0, 32 - len(own))]}
     assert max(held) > 200 and max(edges) > 60
-    assert {r["chunk"]: r["target"] for r in QUERIES["repair_target_all"](spark, sf).collect()} == want_target
-    got = [tuple(r) for r in QUERIES["replication_repair_all"](spark, sf).collect()]
+    assert {r["chunk"]: r["target"] for r in QUERIES["repair_target"](spark, sf).collect()} == want_target
+    got = [tuple(r) for r in QUERIES["replication_repair"](spark, sf).collect()]
     assert len(got) == len(set(got)) and set(got) == want_copies
 
 
@@ -60,7 +60,7 @@ def walks(turns):
 
 def test_ancestors_of_all_turns(spark, sf_dir):
     turns = {tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn").collect()}
-    got = [(tuple(r["start"]), tuple(r["node"]), r["depth"]) for r in QUERIES["ancestor_walk_all"](spark, sf_dir).collect()]
+    got = [(tuple(r["start"]), tuple(r["node"]), r["depth"]) for r in QUERIES["ancestor_walk"](spark, sf_dir).collect()]
     assert len(got) == len(set(got)) and set(got) == walks(turns)
 
 
