@@ -2,7 +2,7 @@
 
 ``sniff`` walks every place where some format's magic bytes stand. A format's validator follows its own structure
 (chunk lengths, checksums, markers) and gives the exact length, or rejects the place. The file that begins at byte 0
-decides the detected type; files found further in, outside of an already carved one, are embedded media for ``carve``.
+decides the detected type; files found further in, within the payload of others too, are embedded media for ``carve``.
 
 Nulls: null media gives a null type and no embedded files; null or unknown declared types are corrected to what was
 found. Bytes of no known format keep their declared type. Empty media is of no format. Repeated rows stay.
@@ -11,10 +11,13 @@ found. Bytes of no known format keep their declared type. Empty media is of no f
 
 from __future__ import annotations
 
+import functools
+import math
 import struct
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,17 +175,69 @@ def _gzip(d: bytes, at: int) -> int:
     return min(p, len(d)) - len(z.unused_data) - at if z.eof else 0
 
 
+@functools.cache
+def _crc_table(bits: int, polynomial: int) -> tuple[int, ...]:
+    top, mask, out = 1 << (bits - 1), (1 << bits) - 1, []
+    for x in range(256):
+        x <<= bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ polynomial if x & top else x << 1) & mask
+        out.append(x)
+    return tuple(out)
+
+
+def _flac_header(d: bytes, p: int) -> tuple[int, int]:
+    """(length, samples) of the frame header at p, by its own checksum; (0, 0) if there is none."""
+    if len(d) < p + 6 or d[p] != 0xFF or d[p + 1] & 0xFE != 0xF8 or d[p + 3] & 1:
+        return 0, 0
+    block, rate, q = d[p + 2] >> 4, d[p + 2] & 15, p + 4
+    lead = d[q]
+    q += 1 if lead < 0x80 else max(2, 8 - (~lead & 0xFF).bit_length())  # the frame's number, in the manner of UTF-8
+    if block in (6, 7):
+        size = int.from_bytes(d[q : q + block - 5], "big") + 1
+        q += block - 5
+    else:
+        size = 192 if block == 1 else 576 << (block - 2) if 2 <= block <= 5 else 256 << (block - 8) if block >= 8 else 0
+    q += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    table, crc = _crc_table(8, 0x07), 0
+    for x in d[p:q]:
+        crc = table[crc ^ x]
+    return (q + 1 - p, size) if size and rate != 15 and q < len(d) and crc == d[q] else (0, 0)
+
+
 def _flac(d: bytes, at: int) -> int:
-    """FLAC frames carry no length: a valid header of metadata blocks claims the rest."""
-    p, first = at + 4, True
-    while p + 4 <= len(d):
+    """Metadata blocks, then frame by frame: a frame ends where its checksum comes out and, but for the last, another begins."""
+    p, total, first = at + 4, 0, True
+    while True:
+        if p + 4 > len(d):
+            return 0
         kind, n = d[p] & 127, int.from_bytes(d[p + 1 : p + 4], "big")
-        if first and (kind, n) != (0, 34):
+        if first and (kind, n) != (0, 34) or kind == 127 or p + 4 + n > len(d):
             return 0
-        first, p = False, p + 4 + n
-        if d[p - n - 4] & 128:
-            return len(d) - at if p <= len(d) else 0
-    return 0
+        if first:
+            total = int.from_bytes(d[p + 14 : p + 22], "big") & (1 << 36) - 1
+        last, first, p = d[p] & 128, False, p + 4 + n
+        if last:
+            break
+    table, done = _crc_table(16, 0x8005), 0
+    while not total or done < total:
+        header, samples = _flac_header(d, p)
+        if not header:
+            return p - at if not total and done else 0
+        done += samples
+        crc, q, end = 0, p, 0
+        for x in memoryview(d)[p:]:
+            crc = (crc << 8 & 0xFFFF) ^ table[crc >> 8 ^ x]
+            q += 1
+            if not crc and q > p + header + 2:
+                end = end or (0 if total else q)  # of unknown length, the last frame ends where its checksum first comes out
+                if total and done >= total or q == len(d) or _flac_header(d, q)[0]:
+                    end = q
+                    break
+        if not end:
+            return 0
+        p = end
+    return p - at
 
 
 VALIDATORS: dict[str, Callable[[bytes, int], int]] = {
@@ -204,17 +259,39 @@ def automaton():
     return a
 
 
+#: Formats whose magic bytes stand in their own parts as well: in such a file no other of its format is looked for.
+SELF_SIMILAR = frozenset(("application/zip", "application/gzip", "application/pdf", "audio/ogg", "video/mp4"))
+
+
 def files(data: bytes, magic) -> list[tuple[int, int, str]]:
-    """(offset, length, type) of the valid files in data, outermost ones only, in order."""
-    out, free = [], 0
+    """(offset, length, type) of the valid files in data in order: outer ones, and those that lie whole within them."""
+    out: list[tuple[int, int, str]] = []
+    around: list[tuple[int, str]] = []  # end and type of the files that the place is in
+    failed: dict[str, int] = {}
     starts = sorted({(end - n + 1 - at, kind) for end, (n, kinds) in magic.iter(data.decode("latin-1")) for kind, at in kinds})
     for at, kind in starts:
-        if at >= free and (length := VALIDATORS[kind](data, at)):
-            out.append((at, length, kind))
-            free = at + length
+        while around and around[-1][0] <= at:
+            around.pop()
+        if at < 0 or kind in SELF_SIMILAR and any(k == kind for _, k in around) or kind in failed:
+            continue
+        if length := VALIDATORS[kind](data, at):
+            if not around or at + length <= around[-1][0]:
+                out.append((at, length, kind))
+                around.append((at + length, kind))
+        elif kind == "application/pdf" and data.find(b"startxref", at) < 0 or kind == "application/zip" and data.find(b"PK\x05\x06", at) < 0:
+            failed[kind] = at  # nothing that could end such a file follows any more
     return out
 
 
+def sample_features(samples: bytes) -> str:
+    """Figures of 8-bit samples around their middle: number, mean, root mean square, extremes and sign changes."""
+    x = np.frombuffer(samples, np.uint8).astype(np.int64) - 128
+    if not len(x):
+        return "samples=0"
+    changes = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+    return f"samples={len(x)} mean={x.sum() / len(x):.6f} rms={math.sqrt((x * x).sum() / len(x)):.6f} min={x.min()} max={x.max()} sign_changes={changes}"
+
+
 def wav(payload: bytes) -> bytes:
     """8-bit unsigned mono PCM; the samples are the payload's bytes."""
     pad = len(payload) % 2
@@ -228,10 +305,10 @@ def wav_data(d: bytes, at: int) -> tuple[int, int, str]:
     while p + 8 <= len(d):
         kind, n = struct.unpack_from("<4sI", d, p)
         if kind == b"fmt ":
-            code, channels, rate, _, block, bits = struct.unpack_from("<HHIIHH", d, p + 8)
+            code, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", d, p + 8)
             what = f"wav pcm={code} channels={channels} rate={rate} bits={bits}"
         if kind == b"data":
-            return p + 8, n, f"{what} samples={n // max(block, 1)}"
+            return p + 8, n, what
         p += 8 + n + n % 2
     return 0, 0, what
 
@@ -275,8 +352,10 @@ def _sniff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = files(data, magic)
             at, length, kind = found[0] if found and found[0][0] == 0 else (0, len(data), None)
             lo, n, what = wav_data(data, 0) if kind == "audio/wav" else (0, length, kind or "unknown")
+            if what.endswith("bits=8"):
+                what = f"{what} {sample_features(data[lo : lo + n])}"
             detected = kind or declared
-            rows.append((detected, detected != declared, length, lo, n, what, [{"offset": o, "length": x, "type": k} for o, x, k in found if o or k != kind]))
+            rows.append((detected, detected != declared, length, lo, n, what, [{"offset": o, "length": x, "type": k} for o, x, k in found if (o, x, k) != (at, length, kind)]))
         kinds = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))]
         cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "detected_type", "corrected", "length", "data_offset", "data_length", "feature", "embedded"])

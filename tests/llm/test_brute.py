@@ -401,6 +401,67 @@ def test_signatures(spark):
     assert [(r["type"], bytes(r["bytes"])) for r in media.carve(sniffed).orderBy("offset").collect()] == [("image/png", all_["image/png"]), ("image/gif", all_["image/gif"])]
 
 
+def crc(data, bits, polynomial):
+    x = 0
+    for byte in data:
+        x ^= byte << bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ polynomial if x >> bits - 1 else x << 1) & (1 << bits) - 1
+    return x.to_bytes(bits // 8, "big")
+
+
+def flac(frames, known=True):
+    """Constant 8-bit mono frames of 192 samples."""
+    info = struct.pack(">HH", 192, 192) + b"\0" * 6 + (8000 << 44 | 7 << 36 | (192 * frames if known else 0)).to_bytes(8, "big") + b"\0" * 16
+    out = b"fLaC" + b"\x80" + (34).to_bytes(3, "big") + info
+    for k in range(frames):
+        head = b"\xff\xf8\x14\x02" + bytes([k])
+        body = head + crc(head, 8, 7) + bytes([0, 17 * k % 256])
+        out += body + crc(body, 16, 0x8005)
+    return out
+
+
+@pytest.mark.parametrize("known", [True, False])
+def test_flac_frames(known):
+    magic, data = media.automaton(), flac(5, known)
+    for tail in (b"", b"tail that is no frame", b"\xff\xf8 nor is this"):
+        got = media.files(b"ab" + data + tail, magic)
+        assert got == ([(2, len(data), "audio/flac")])
+    broken = media.files(data[:-1] + b"?", magic)
+    assert broken == [] if known else broken in ([], [(0, len(flac(4, known)), "audio/flac")])
+
+
+def test_files_inside_files(spark):
+    """What lies in another file's payload comes back byte for byte, nested ones too."""
+    all_ = samples()
+    inner = {k: all_[k] for k in ("image/gif", "image/png", "application/pdf", "application/gzip", "image/jpeg")} | {"audio/flac": flac(3)}
+    payload = b"words " + b" and more ".join(inner.values()) + b" end"
+    nested = media.wav(b"x" * 99 + media.wav(payload) + b"y" * 7)
+    rows = spark.createDataFrame([(1, media.wav(payload)), (2, nested), (3, media.wav(b"plain text only"))], "doc_id long, media binary")
+    sniffed = media.sniff(rows, ("doc_id",))
+    got = defaultdict(list)
+    for r in media.carve(sniffed).orderBy("offset").collect():
+        got[r["doc_id"]].append((r["type"], bytes(r["bytes"])))
+    assert got[1] == list(inner.items()) and got[2] == [("audio/wav", media.wav(payload)), *inner.items()] and 3 not in got
+    assert {r["doc_id"]: r["detected_type"] for r in sniffed.collect()} == dict.fromkeys((1, 2, 3), "audio/wav")
+
+
+def test_media_query(spark, sf_dir, texts):
+    """Every column of the whole query."""
+    import hashlib
+
+    rows = QUERIES["op2_media_sniffing"](spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = texts[r["doc_id"]].encode()
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        stored = media.wav(payload)
+        assert (r["n_bytes"], r["payload_bytes"], r["media_bytes"]) == (len(raw), len(payload), len(stored))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["media_sha256"] == hashlib.sha256(stored).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-32:])
+        x = np.frombuffer(payload, np.uint8).astype(float) - 128
+        assert f"samples={len(x)} mean={x.mean():.6f} " in r["feature"] and r["detected_type"] == "audio/wav" and r["corrected"]
+
+
 def test_classifier_on_labelled_rows(spark, sf_dir):
     labels = {r["doc_id"]: r for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     got = [(r["keep"], labels[r["doc_id"]]) for r in QUERIES["op1_quality_cotraining"](spark, sf_dir).collect() if r["doc_id"] in labels]
