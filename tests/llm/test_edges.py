@@ -121,10 +121,31 @@ def test_lm(docs, empty):
 
 def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(docs).count() == 0 and licenses.scan_licenses(empty).count() == 0
-    full = licenses.TEMPLATES["MIT"]
+    full = licenses.TEXTS["MIT"]
     d = spark.createDataFrame([(1, "x\nReleased under the MIT License.\ny"), (2, full), (2, full), (None, "released UNDER the mit license"), (3, "see " + full.lower()), (4, " ".join(f"filler{i}" for i in range(200)) + full)], "doc_id long, text string")
     got = {(r["doc_id"], r["license"]): r["dice"] for r in licenses.scan_licenses(d).collect()}
-    assert got[1, "MIT-short"] == got[2, "MIT"] == got[None, "MIT-short"] == 1.0 and 0.9 < got[3, "MIT"] < 1 and (4, "MIT") not in got
+    assert got[1, "MIT"] == got[2, "MIT"] == got[None, "MIT"] == 1.0 and 0.9 < got[3, "MIT"] < 1 and (4, "MIT") not in got
+
+
+def test_license_wordings(spark, tmp_path):
+    cases = {
+        1: ("A fine tool, as we think. This project is licensed under the MIT License. It has a manual.", {"MIT"}),  # inside a line
+        2: ("Licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),  # not version 3
+        3: ("This work is licensed under CC BY-SA 4.0.", {"CC-BY-SA-4.0"}),
+        4: (licenses.TEXTS["BSD-3-Clause"], {"BSD-3-Clause"}),
+        5: (licenses.TEXTS["LGPL-2.1"].replace("; without", ";\nwithout"), {"LGPL-2.1"}),
+        6: ("This project is licensed under the Apache License, Version 2.0 - see the LICENSE file for details.", {"Apache-2.0"}),
+        7: ("We were licensed to drive, and the general public liked it.", set()),
+    }
+    d = spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id long, text string")
+    got = {k: set() for k in cases}
+    for r in licenses.scan_licenses(d).collect():
+        got[r["doc_id"]].add(r["license"])
+    assert got == {k: want for k, (_, want) in cases.items()}
+    (tmp_path / "House-1.0.txt").write_text("Whoever comes in peace may use this house, its kitchen and its well, as long as the door is closed at night.")
+    own = licenses.templates_from(spark, str(tmp_path))
+    note = spark.createDataFrame([(1, "whoever comes in peace may use this house, its kitchen and its well as long as the door is closed at night")], "doc_id long, text string")
+    assert [(r["license"], r["dice"]) for r in licenses.scan_licenses(note, templates=own).collect()] == [("House-1.0", 1.0)]
 
 
 def test_html(spark):
