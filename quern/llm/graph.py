@@ -1,7 +1,9 @@
 """Connected components of links, distributed: alternating large-star and small-star rounds.
 
-No adjacency list is ever gathered: a round is a minimum per node (combined on the map side) and a join, which AQE can
-split at a hub. Each round is written to the shared folder, so lost executors cost one round and lineage stays short.
+No adjacency list is ever gathered: a round is a minimum per node (combined on the map side), written as a table of its
+own, and a join of the links to it. Both sides of that join are dealt anew, so AQE can split it at a hub, or broadcast
+the minima while they are few. Each round is written to the shared folder, so lost executors cost one round and lineage
+stays short.
 """
 
 from __future__ import annotations
@@ -13,16 +15,18 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: (u, v). Large: larger neighbours move to the least of u and its neighbours; small: the others do."""
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """edges: (u, v) with u > v. Large: larger neighbours move to the least of u and its neighbours; small: the others do.
+
+    Returns the new edges and the table of minima that they are read from.
+    """
     if large:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+        upward = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        least = common.materialise(edges.unionByName(upward).groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
+        return upward.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
+    least = common.materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), least
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -38,9 +42,12 @@ def components(links: DataFrame) -> DataFrame:
         if now[0] == 0 or now == before:
             break
         before = now
-        step = common.materialise(_star(_star(edges, True).distinct(), False).where("u > v").distinct(), "stars")
-        common.discard(edges)
-        edges = step
+        for large in (True, False):
+            star, least = _star(edges, large)
+            step = common.materialise(star, "stars")
+            common.discard(edges)
+            common.discard(least)
+            edges = step
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     out = nodes.unionByName(nodes.select(F.col("label").alias("node"), "label").distinct())
     out.__dict__["quern_path"] = edges.__dict__["quern_path"]  # for discard, once nothing reads it

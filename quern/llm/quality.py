@@ -2,13 +2,14 @@
 
 Content: presence of telling words (by 64-bit hash, chosen by the root of their log-likelihood ratio) and binned surface figures of the
 text (case, symbols, repeats, line and word lengths). Metadata: source, language and length class. In each round both
-views are fitted to the labelled rows and to what the other gave; each then marks the pool rows it is confident of -
-beyond the score at which it is right ``PRECISION`` of the time on held-out labelled rows - for the other. In the end
-each view is calibrated on the held-out rows and a logistic combination of both scores every document.
+views are fitted to the labelled rows (which also choose the words) and to what the other gave; then both score all unlabelled documents, and each hands
+the other those it is most confident of: beyond the score at which it is right ``PRECISION`` of the time on held-out
+labelled rows, the ``GIVEN`` highest different texts of either class. In the end each view is calibrated on the held-out
+rows and a logistic combination of both scores every document.
 There are two such classifiers, for quality and for toxicity; a document is kept if it is good and not toxic.
 
-Fitting is bounded: at most ``MAX_LABELLED`` labelled and ``MAX_POOL`` other rows (of least hash of their id) reach the
-driver. Scoring reads every whole text in one narrow stage.
+Fitting is bounded: at most ``MAX_LABELLED`` labelled rows (of least hash of their id) and 8 x ``GIVEN`` pseudo-labelled rows
+a round reach the driver. The exchange and the scoring read every whole text, each time in one narrow stage.
 
 Nulls: a null text is empty; null source, language or length are classes of their own; labels that are null or whose
 document is missing aren't used; a null doc_id keeps its row. Repeated rows are scored each for itself; repeated labels
@@ -24,15 +25,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .bytewords import Words, column_bytes, column_words
 
-#: Bounds of the rows that fitting takes.
-MAX_LABELLED, MAX_POOL = 12000, 3000
-ROUNDS, PRECISION, MOST_WORDS, MIN_Z, BINS = 3, 0.98, 256, 3.5, 10
+#: The bound of labelled rows that fitting takes, and what a view gives for one class in one round.
+MAX_LABELLED, GIVEN = 12000, 100
+ROUNDS, PRECISION, MOST_WORDS, MIN_Z, BINS = 2, 0.98, 256, 3.5, 10
+#: What a pseudo-label weighs beside a label.
+PSEUDO = 0.25
 
 #: How many figures ``surface`` gives.
 FIGURES = 11
@@ -215,51 +218,56 @@ class Metadata:
 
 
 class Classifier:
-    """One target. y: 0, 1, or -1 for pool rows; held: the rows kept for confidence, calibration and combination."""
+    """One target over growing rows. y: 0 or 1, or -1 for rows without a label; held: kept for confidence, calibration and combination."""
 
-    def __init__(self, rows: Rows, y: np.ndarray, held: np.ndarray):
+    def __init__(self, y: np.ndarray, held: np.ndarray):
         known = y >= 0
-        train, held = known & ~held, known & held
+        train = known & ~held
+        self.y, self.held = y, known & held
         self.views: list = []
         self.constant = float(y[known].mean()) if known.any() else 0.5
-        self.exchanged: list[tuple[int, int]] = []
-        if min((y[train] == 1).sum(), (y[train] == 0).sum(), (y[held] == 1).sum(), (y[held] == 0).sum()) < 2:
-            return
-        target = np.stack([y, y], axis=1).astype(np.float64)  # what each view is fitted to
-        weight = np.stack([train, train], axis=1).astype(np.float64)
-        pool = ~known
-        for turn in range(ROUNDS + 1):
-            self.views, logits = [], []
-            for v in range(2):
-                use = weight[:, v] > 0
-                view = Content(rows, use, np.where(use, target[:, v], 0)) if v == 0 else Metadata(rows, use)
-                x = view.matrix(rows)
-                beta = fit_logistic(x, np.where(use, target[:, v], 0), weight[:, v])
-                self.views.append((view, beta))
-                logits.append(x @ beta[1:] + beta[0])
-            if turn == ROUNDS or not pool.any():
-                break
-            given = []
-            for v in range(2):
-                marks = 0
-                for kind in (0, 1):
-                    s = logits[v] if kind else -logits[v]
-                    bound = _confident(s[held], y[held] == kind)
-                    sure = pool & (s >= bound) & (weight[:, 1 - v] == 0)
-                    target[sure, 1 - v] = kind
-                    weight[sure, 1 - v] = 0.5
-                    marks += int(sure.sum())
-                given.append(marks)
-            self.exchanged.append((given[0], given[1]))
-            if not any(given):
-                break
-        z = np.stack([x[held] for x in logits], axis=1)
+        self.able = min((y[train] == 1).sum(), (y[train] == 0).sum(), (y[self.held] == 1).sum(), (y[self.held] == 0).sum()) >= 2
+        # what each view is fitted to
+        self.target = np.stack([y, y], axis=1).astype(np.float64)
+        self.weight = np.stack([train, train], axis=1).astype(np.float64)
+        self.prior = float(y[train].mean()) if train.any() else 0.5
+
+    def fit(self, rows: Rows) -> None:
+        self.views, self.logits = [], []
+        for v in range(2):
+            use = self.weight[:, v] > 0
+            sure = self.weight[:, v] == 1  # words and classes are chosen by what is labelled
+            view = Content(rows, sure, np.where(sure, self.target[:, v], 0)) if v == 0 else Metadata(rows, sure)
+            x = view.matrix(rows)
+            beta = fit_logistic(x, np.where(use, self.target[:, v], 0), self.weight[:, v])
+            self.views.append((view, beta))
+            self.logits.append(x @ beta[1:] + beta[0])
+
+    def bounds(self) -> list[tuple[int, int, float]]:
+        """(view, class, least score) beyond which a view is sure enough to teach the other."""
+        out = []
+        for v in range(2):
+            for kind in (0, 1):
+                s = self.logits[v] if kind else -self.logits[v]
+                out.append((v, kind, _confident(s[self.held], self.y[self.held] == kind)))
+        return [x for x in out if np.isfinite(x[2])]
+
+    def learn(self, marks: list[tuple[int, int, int]], n: int) -> None:
+        """n more rows; marks: (which of them, view that is sure, class) - for the other view."""
+        target, weight = np.zeros((n, 2)), np.zeros((n, 2))
+        for i, v, kind in marks:
+            target[i, 1 - v], weight[i, 1 - v] = kind, PSEUDO
+        self.target, self.weight = np.concatenate([self.target, target]), np.concatenate([self.weight, weight])
+        self.y, self.held = np.concatenate([self.y, np.full(n, -1)]), np.concatenate([self.held, np.zeros(n, bool)])
+
+    def calibrate(self) -> None:
+        z = np.stack([x[self.held] for x in self.logits], axis=1)
         # drawn to the identity, and to the sum of two independent views' evidence, as few rows may be held out
-        one, yes = np.ones(len(z)), y[held].astype(float)
+        one, yes = np.ones(len(z)), self.y[self.held].astype(float)
         self.scale = [fit_logistic(z[:, v : v + 1], yes, one, 2.0, np.array([0.0, 1.0])) for v in range(2)]
         both = np.stack([logit(sigmoid(z[:, v] * self.scale[v][1] + self.scale[v][0])) for v in range(2)], axis=1)
-        prior = float(logit(np.array([y[train].mean()]))[0])
-        self.blend = fit_logistic(both, yes, one, 2.0, np.array([-prior, 1.0, 1.0]))
+        self.blend = fit_logistic(both, yes, one, 2.0, np.array([-float(logit(np.array([self.prior]))[0]), 1.0, 1.0]))
+        del self.target, self.weight, self.logits, self.y, self.held  # what is sent to the workers is small
 
     def score(self, rows: Rows) -> np.ndarray:
         """Probabilities: of the content view, the metadata view, and both combined."""
@@ -273,12 +281,16 @@ class Classifier:
 
 
 def _confident(score: np.ndarray, right: np.ndarray) -> float:
-    """The least score from which on at least PRECISION are right, of ten held-out rows at least."""
+    """The least score from which on at least PRECISION are right, and surely (one-sided 95 %) more than the class's share.
+
+    A view that is no better than the share of the class has nothing to teach.
+    """
     order = np.argsort(-score, kind="stable")
-    share = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero((share >= PRECISION) & (np.arange(len(order)) >= 9))
-    # a view that is no better than the share of the class has nothing to teach
-    return float(score[order[good[-1]]]) if len(good) and right.mean() < PRECISION else np.inf
+    n = np.arange(1, len(order) + 1)
+    share, z = np.cumsum(right[order]) / n, 1.645
+    surely = (share + z * z / (2 * n) - z * np.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    good = np.flatnonzero((share >= PRECISION) & (surely > right.mean()))
+    return float(score[order[good[-1]]]) if len(good) else np.inf
 
 
 @dataclass
@@ -297,17 +309,12 @@ def _shape(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), of("source", "string"), of("lang", "string"), of("n_chars", "long"))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Model:
-    """Fit both classifiers. labels: doc_id, quality, toxic. What reaches the driver is bounded by the two limits."""
-    rows = _shape(docs, id_col, text_col)
-    key = F.xxhash64("doc_id")
-    chosen = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"), key.alias("fold")).orderBy("fold", "quality", "toxic").limit(max_labelled)
-    labelled = rows.join(F.broadcast(chosen), "doc_id")  # at most max_labelled rows of four numbers
-    # pool ids of least hash first, without their texts
-    ids = rows.where("doc_id is not null").select("doc_id", key.alias("fold")).orderBy(F.xxhash64(F.col("fold"))).limit(max_pool).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti")
-    pool = rows.join(F.broadcast(ids.distinct()), "doc_id").select(*labelled.columns[:-3], F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"), "fold")
-    kinds = "fold long, source string, lang string, n_chars long, quality int, toxic int, words binary, figures binary"
-    got = labelled.unionByName(pool).mapInArrow(_features, kinds).orderBy("fold", "words").toArrow()
+FEATURES = "fold long, source string, lang string, n_chars long, quality int, toxic int, words binary, figures binary"
+
+
+def _collected(frame: DataFrame, order: list[str]) -> tuple[Rows, dict[str, list], list[int]]:
+    """A bounded frame's features on the driver: as rows, the other columns, and a digest of each row's words."""
+    got = frame.orderBy(*order).toArrow()
     kept = got["words"].combine_chunks()
     n = len(kept)
     size = pc.binary_length(kept).to_numpy(zero_copy_only=False).astype(np.int64) // 8 if n else np.zeros(0, np.int64)
@@ -317,14 +324,98 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     del got, kept
     figures = np.array([np.frombuffer(x, np.float64) for x in r["figures"]]).reshape(n, FIGURES)
     chars = np.array([-1 if x is None else x for x in r["n_chars"]], np.int64)
-    data = Rows(flat, np.repeat(np.arange(n), size), figures, r["source"], r["lang"], chars)
+    return Rows(flat, np.repeat(np.arange(n), size), figures, r["source"], r["lang"], chars), r, digests
+
+
+def _joined(a: Rows, b: Rows) -> Rows:
+    return Rows(np.concatenate([a.words, b.words]), np.concatenate([a.of, b.of + len(a)]), np.concatenate([a.figures, b.figures]), a.source + b.source, a.lang + b.lang, np.concatenate([a.n_chars, b.n_chars]))
+
+
+def most_confident(pool: DataFrame, classifiers: list[Classifier], asked: list[tuple[int, int, int, float]], given: int) -> DataFrame:
+    """(doc_id, text_hash, ask, score): for each ask (classifier, view, class, bound) the ``given`` surest different texts.
+
+    pool: all unlabelled rows. A task keeps no more than a bounded number for an ask; the rest of the choice is a
+    window whose limit is applied before the shuffle too.
+    """
+    used = {(c, v): classifiers[c].views[v] for c, v, _, _ in asked}
+    sent = pool.sparkSession.sparkContext.broadcast((used, asked))
+
+    @common.lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        views, asks = sent.value
+        best: list[dict[int, tuple[float, int]]] = [{} for _ in asks]  # text hash: score, id
+
+        def cut(k: int) -> None:
+            best[k] = dict(sorted(best[k].items(), key=lambda x: (-x[1][0], x[0]))[:given])
+
+        for b in batches:
+            data, edges = column_bytes(b.column("text"))
+            ids, hashes = b.column("doc_id").to_numpy(), b.column("text_hash").to_numpy()
+            for lo, hi, w in column_words(b.column("text")):
+                rows = _rows(b, lo, hi, data[edges[lo] : edges[hi]], w)
+                logits = {key: view.matrix(rows) @ beta[1:] + beta[0] for key, (view, beta) in views.items()}
+                for k, (c, v, kind, bound) in enumerate(asks):
+                    s = logits[c, v] if kind else -logits[c, v]
+                    for i in np.flatnonzero(s >= bound).tolist():
+                        h, x = int(hashes[lo + i]), (float(s[i]), -int(ids[lo + i]))
+                        if x > best[k].get(h, (-np.inf, 0)):
+                            best[k][h] = x
+                    if len(best[k]) > 8 * given:
+                        cut(k)
+        for k in range(len(asks)):
+            cut(k)
+            if best[k]:
+                rows_ = [(-x[1], h, k, x[0]) for h, x in best[k].items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)], ["doc_id", "text_hash", "ask", "score"])
+
+    found = pool.mapInArrow(run, "doc_id long, text_hash long, ask int, score double")
+    once = found.groupBy("ask", "text_hash").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("id"))).alias("x")).select((-F.col("x.id")).alias("doc_id"), "text_hash", "ask", "x.score")
+    rank = F.row_number().over(Window.partitionBy("ask").orderBy(F.desc("score"), "text_hash"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= given).drop("rank")
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, given: int = GIVEN, rounds: int = ROUNDS) -> Model:
+    """Fit both classifiers. labels: doc_id, quality, toxic. What reaches the driver is bounded by the two limits."""
+    spark = docs.sparkSession
+    rows = _shape(docs, id_col, text_col)
+    key = F.xxhash64("doc_id")
+    chosen = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"), key.alias("fold")).orderBy("fold", "quality", "toxic").limit(max_labelled)
+    labelled = rows.join(F.broadcast(chosen), "doc_id")  # at most max_labelled rows of four numbers
+    data, r, digests = _collected(labelled.mapInArrow(_features, FEATURES), ["fold", "words"])
     seen: set[int] = set()
     data.first = np.array([not (x in seen or seen.add(x)) for x in digests], bool)
     held = np.array([x % 5 == 0 for x in r["fold"]], bool)
-    made = []
-    for target in ("quality", "toxic"):
-        y = np.array([-1 if x is None else int(x > 0) for x in r[target]], np.int64)
-        made.append(Classifier(data, y, held))
+    made = [Classifier(np.array([-1 if x is None else int(x > 0) for x in r[t]], np.int64), held) for t in ("quality", "toxic")]
+    # all rows without a label; those that were given already are left out by the hash of their text
+    pool = rows.where("doc_id is not null").withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_anti")
+    able = [c for c, m in enumerate(made) if m.able]
+    taken: list[int] = []
+    for turn in range(rounds + 1):
+        for c in able:
+            made[c].fit(data)
+        asked = [(c, v, kind, bound) for c in able for v, kind, bound in made[c].bounds()] if turn < rounds else []
+        if not asked:
+            break
+        left = pool.join(F.broadcast(spark.createDataFrame([(h,) for h in taken], "text_hash long")), "text_hash", "left_anti")
+        marks = most_confident(left, made, asked, given).collect()  # 8 x given rows at most
+        if not marks:
+            break
+        place: dict[int, int] = {}
+        for m in sorted(marks, key=lambda m: (m["text_hash"], m["doc_id"])):
+            place.setdefault(m["text_hash"], m["doc_id"])
+        ids = spark.createDataFrame([(d, h) for h, d in place.items()], "doc_id long, text_hash long")
+        more = rows.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(ids), ["doc_id", "text_hash"])
+        more = more.dropDuplicates(["text_hash"]).select(*rows.columns, F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"), F.col("text_hash").alias("fold"))
+        new, r, digests = _collected(more.mapInArrow(_features, FEATURES), ["fold"])
+        at = {h: i for i, h in enumerate(r["fold"])}
+        for c in range(len(made)):
+            made[c].learn([(at[m["text_hash"]], asked[m["ask"]][1], asked[m["ask"]][2]) for m in marks if asked[m["ask"]][0] == c and m["text_hash"] in at], len(new))
+        taken += list(at)
+        first = data.first
+        data = _joined(data, new)
+        data.first = np.concatenate([first, np.array([not (x in seen or seen.add(x)) for x in digests], bool)])
+    for c in able:
+        made[c].calibrate()
     return Model(*made)
 
 

@@ -255,7 +255,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reach = components(links(written, distance))
     common.discard(written)  # the components are written by now
     nodes = codes.join(reach.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
+    # written apart, so that the join of a large component can be split
+    least = common.materialise(nodes.groupBy("label").agg(F.min("least").alias("component_id")), "least-ids")
     of = nodes.join(least, "label").select("fp", "component_id")
     return found.join(of, "fp").select("doc_id", "fp", "component_id")
 
@@ -339,7 +340,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     common.discard(near)
     nodes = found.select("doc_id", "row", "node").join(same, "node", "left").withColumn("label", F.coalesce("label", "node"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    first = nodes.groupBy("label").agg(F.min(place).alias("first"))
+    first = common.materialise(nodes.groupBy("label").agg(F.min(place).alias("first")), "firsts")
     return nodes.join(first, "label").select("doc_id", "row", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("component_row"))
 
 

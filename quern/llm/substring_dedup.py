@@ -292,6 +292,7 @@ def like_lines(texts: DataFrame, min_words: int = MIN_WORDS, shingle: int = SHIN
     classed = places.join(reach, "text_hash", "left").withColumn("label", F.coalesce("label", "text_hash"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "paragraph")
     first = classed.groupBy("label").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first != final")
+    first = common.materialise(first.select("label", "first"), "first-lines")  # apart, so that a common line's join can be split
     return classed.join(first, "label").select(
         "doc_id", "row", "paragraph", "start", "end", "n_words",
         F.col("first.doc_id").alias("component_id"), F.col("first.paragraph").alias("component_paragraph"),
@@ -422,6 +423,7 @@ def equal_runs(texts: DataFrame, gone: DataFrame, run: int = RUN, shingle: int =
     common.discard(keys)
     order = F.struct("late", F.col("doc_id").isNull().alias("last"), "doc_id", "row", "word", "paragraph")
     first = shared.groupBy("hash").agg(F.min(order).alias("first"), F.min("row").alias("a"), F.max("row").alias("b")).where("a != b").select("hash", "first")
+    first = common.materialise(first, "first-runs")  # apart, so that a common run's join can be split
     every = shared.join(first, "hash").withColumn("removed", F.struct("row", "word") != F.struct("first.row", "first.word"))
     along = Window.partitionBy("row").orderBy("word")
     step = F.col("word") - F.lag("word").over(along)

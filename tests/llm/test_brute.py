@@ -16,9 +16,10 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import licenses, media, simhash
+from quern.llm import licenses, media, quality, simhash
 from quern.llm.bytewords import column_bytes, column_words
 from quern.llm.html_text import main_text
 from quern.llm.lm_scores import _pack, _unpack
@@ -469,6 +470,33 @@ def test_classifier_on_labelled_rows(spark, sf_dir):
     assert sum(clean) / len(clean) > 0.97
 
 
+def test_exchange_takes_the_surest_of_all_rows(spark, sf_dir):
+    """What the views hand each other, against all scores of all unlabelled rows in plain Python."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    twice = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10**6))  # every text again under another id
+    model = quality.train(docs, labels, rounds=0)
+    pool = quality._shape(twice, "doc_id", "text").withColumn("text_hash", F.xxhash64("text")).join(labels.select("doc_id"), "doc_id", "left_anti")
+    asked = [(0, 0, 1, 0.3), (0, 0, 0, -1.0), (0, 1, 1, 0.0), (1, 0, 1, -9.0), (1, 1, 0, 50.0)]
+    got = quality.most_confident(pool, [model.quality, model.toxic], asked, 7).collect()
+    b = pa.RecordBatch.from_pandas(pool.toPandas(), preserve_index=False)
+    data, edges = column_bytes(b.column("text"))
+    scored = [[] for _ in asked]
+    for lo, hi, w in column_words(b.column("text")):
+        rows = quality._rows(b, lo, hi, data[edges[lo] : edges[hi]], w)
+        for k, (c, v, kind, bound) in enumerate(asked):
+            view, beta = (model.quality, model.toxic)[c].views[v]
+            z = (view.matrix(rows) @ beta[1:] + beta[0]) * (1 if kind else -1)
+            scored[k] += [(float(x), h, d) for x, h, d in zip(z.tolist(), b.column("text_hash").to_pylist()[lo:hi], b.column("doc_id").to_pylist()[lo:hi], strict=True) if x >= bound]
+    for k, rows in enumerate(scored):
+        best = {}
+        for x, h, d in rows:
+            best[h] = max(best.get(h, (-1e9, 0)), (round(x, 6), -d))
+        mine = {r["text_hash"]: (round(r["score"], 6), -r["doc_id"]) for r in got if r["ask"] == k}
+        assert len(mine) == min(7, len(best)) and all(abs(best[h][0] - x) < 1e-4 for h, (x, _) in mine.items())
+        assert not mine or min(x for x, _ in mine.values()) >= sorted((x for x, _ in best.values()), reverse=True)[len(mine) - 1] - 1e-4
+    assert sum(r["ask"] == 0 for r in got) == 7 and not any(r["ask"] == 4 for r in got)
+
+
 def test_pipeline(spark, sf_dir, texts):
     """Each stage, on its own input, against what its rule says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
