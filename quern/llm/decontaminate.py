@@ -2,7 +2,8 @@
 
 The scan hashes all windows of a batch with numpy, looks them up in a bit table and then in the sorted hashes, and
 verifies each hit on the words themselves, so hash collisions change nothing. The benchmark is broadcast in blocks of
-at most ``MAX_BLOCK_BYTES`` of text: its size is measured first, and a larger one takes several exact passes.
+at most ``MAX_BLOCK_BYTES`` of text (a window takes some 40 bytes of arrays beside it): its size is measured first, and a
+larger one takes several exact passes, one block at a time: a pass is written and its block dropped before the next.
 
 Nulls: a null text has no words; null ids stay null in documents; a benchmark row with a null id or text is hit-tested
 like any other but a null id is never listed. Repeated rows are judged each for itself; repeated items count once by
@@ -11,7 +12,6 @@ id. With an empty benchmark nothing is hit. Further columns are kept by ``decont
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,46 +24,72 @@ from .bytewords import Words, column_words
 
 WINDOW = 10
 #: Text bytes of the benchmark held by one broadcast set.
-MAX_BLOCK_BYTES = 16 << 20
+MAX_BLOCK_BYTES = 8 << 20
 
 HITS = "doc_id long, n_words long, n_hit long, items array<string>, span_start array<long>, span_end array<long>"
 
 
 class WindowSet:
-    """The windows of some items: by length their sorted hashes, a bit table, and the items of each window's text."""
+    """The windows of some items: by length their sorted hashes, a bit table, and where in the items' words each begins."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
-        found: dict[int, dict[int, None]] = {}
-        self.items: dict[bytes, list[str]] = {}
+        self.names = [name for name, _ in items]
+        low, start, end, item, found = [], [], [], [], {}
+        size = many = 0
         for lo, _, w in column_words(pa.array([t for _, t in items], pa.string())):
             count = w.per_doc()
             for n in {window, *count[(count > 0) & (count < window)].tolist()}:
                 at, h = w.ngrams(n)
-                for i, x in zip(at.tolist(), h.tolist(), strict=True):
-                    if n == window or count[w.doc[i]] == n:
-                        found.setdefault(n, {})[x] = None
-                        names = self.items.setdefault(w.text(i, n), [])
-                        name = items[lo + int(w.doc[i])][0]
-                        if name is not None and name not in names:
-                            names.append(name)
-        self.hashes = {n: np.sort(np.fromiter(h, np.uint64, len(h))) for n, h in found.items()}
-        self.shift, self.bits = {}, {}
-        for n, h in self.hashes.items():
-            bits = max(12, int(len(h) * 32).bit_length())
+                if n != window:  # the whole of an item of so few words
+                    own = count[w.doc[at]] == n
+                    at, h = at[own], h[own]
+                found.setdefault(n, []).append((h, at + many))
+            low.append(w.low)
+            start.append(w.start + size)
+            end.append(w.end + size)
+            item.append(lo + w.doc)
+            size, many = size + len(w.low), many + len(w.start)
+        none = np.zeros(0, np.int64)
+        self.low = np.concatenate([np.zeros(0, np.uint8), *low]).tobytes()
+        self.start, self.end, self.item = (np.concatenate([none, *x]).astype(np.uint32) for x in (start, end, item))
+        self.hashes, self.place, self.shift, self.bits = {}, {}, {}, {}
+        for n, parts in found.items():
+            h, at = (np.concatenate([p[k] for p in parts]) for k in range(2))
+            order = np.argsort(h, kind="stable")
+            self.hashes[n], self.place[n] = h[order], at[order].astype(np.uint32)
+            bits = max(12, int(len(h) * 16).bit_length())
             self.shift[n] = np.uint64(64 - bits)
             self.bits[n] = np.zeros(1 << bits, bool)
             self.bits[n][h >> self.shift[n]] = True
 
+    def _names(self, n: int, text: bytes, first: int, last: int) -> set[str] | None:
+        """The items of the windows first to last that have these words; none: null."""
+        out, same = set(), False
+        for at in self.place[n][first:last].tolist():
+            words = [self.low[s:e] for s, e in zip(self.start[at : at + n].tolist(), self.end[at : at + n].tolist(), strict=True)]
+            if b" ".join(words) == text:
+                same = True
+                name = self.names[int(self.item[at])]
+                if name is not None:
+                    out.add(name)
+        return out if same else None
+
     def hits(self, w: Words) -> tuple[np.ndarray, dict[int, set[str]]]:
         """(which words are hit, the items found by text number)."""
         hit, found = np.zeros(len(w.hash) + 1, np.int64), {}
+        known: dict[bytes, set[str] | None] = {}
         for n, hashes in self.hashes.items():
             at, h = w.ngrams(n)
             maybe = np.flatnonzero(self.bits[n][h >> self.shift[n]])
-            if len(maybe):
-                maybe = maybe[hashes[np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)] == h[maybe]]
-            for i in at[maybe].tolist():
-                names = self.items.get(w.text(i, n))
+            first = np.searchsorted(hashes, h[maybe], "left")
+            last = np.searchsorted(hashes, h[maybe], "right")
+            for i, x, y in zip(at[maybe].tolist(), first.tolist(), last.tolist(), strict=True):
+                if x == y:
+                    continue
+                text = w.text(i, n)
+                if text not in known:
+                    known[text] = self._names(n, text, x, y)
+                names = known[text]
                 if names is not None:
                     hit[i] += 1
                     hit[i + n] -= 1
@@ -141,28 +167,35 @@ def _remove(blocks, text_col: str, spans_only: bool):
     return run
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, max_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, max_bytes: int) -> tuple[Iterator[list[tuple[str | None, str | None]]], int]:
+    """The distinct items in blocks of about ``max_bytes`` of text, and how many blocks there are."""
     items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).head()[0]
     n = max(1, -(-total // max_bytes))
-    for k in range(n):  # each block is bounded: about max_bytes of text
-        block = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield [(r["id"], r["text"]) for r in block.toLocalIterator()]
+
+    def each() -> Iterator[list[tuple[str | None, str | None]]]:
+        for k in range(n):
+            block = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
+            yield [(r["id"], r["text"]) for r in block.toLocalIterator()]
+
+    return each(), n
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items (sorted), and the hit runs as byte spans of its UTF-8 text."""
     spark = docs.sparkSession
     rows = common.text_only(docs, id_col, text_col)
-    first, more = itertools.tee(itertools.islice(_blocks(benchmark, item_id, item_text, window, max_bytes), 2))
-    if len(list(more)) == 1:
-        return rows.mapInArrow(_scan(spark.sparkContext.broadcast(WindowSet(next(first), window))), HITS)
+    blocks, n = _blocks(benchmark, item_id, item_text, max_bytes)
+    if n == 1:
+        return rows.mapInArrow(_scan(spark.sparkContext.broadcast(WindowSet(next(blocks), window))), HITS)
     # several blocks: their hits of one row are united by a row number, written so that it can't change
     rows = common.materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "decontaminate")
     numbered = rows.select(F.col("row").alias("doc_id"), "text")
     hits = None
-    for b in _blocks(benchmark, item_id, item_text, window, max_bytes):
-        part = numbered.mapInArrow(_scan(spark.sparkContext.broadcast(WindowSet(b, window))), HITS).where("n_hit > 0")
+    for b in blocks:
+        sent = spark.sparkContext.broadcast(WindowSet(b, window))
+        part = common.materialise(numbered.mapInArrow(_scan(sent), HITS).where("n_hit > 0"), "hits")
+        sent.destroy()  # one block at a time
         hits = part if hits is None else hits.unionByName(part)
     spans = F.flatten(F.collect_list(F.arrays_zip("span_start", "span_end")))
     merged = hits.groupBy(F.col("doc_id").alias("row")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(spans).alias("spans"))
@@ -176,13 +209,16 @@ def _merged_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         rows = b.select(["doc_id", "items", "spans"]).to_pylist()
         for lo, _, w in column_words(b.column("text")):
+            cut = np.searchsorted(w.doc, np.arange(w.n_docs + 1))
             for d in range(w.n_docs):
                 r = rows[lo + d]
-                mine = np.flatnonzero(w.doc == d)
+                mine = np.arange(cut[d], cut[d + 1])
                 start = w.start[mine] - w.first_byte[d]
-                hit = np.zeros(len(mine), bool)
+                change = np.zeros(len(mine) + 1, np.int64)
                 for s in r["spans"] or ():
-                    hit |= (start >= s["span_start"]) & (start < s["span_end"])
+                    change[np.searchsorted(start, s["span_start"])] += 1
+                    change[np.searchsorted(start, s["span_end"])] -= 1
+                hit = np.cumsum(change[:-1]) > 0
                 spans = _spans(Words(w.low, w.start[mine] - w.first_byte[d], w.end[mine] - w.first_byte[d], np.zeros(len(mine), np.int64), w.hash[mine], np.zeros(2, np.int64), 1), hit).get(0, [])
                 out.append((r["doc_id"], len(mine), int(hit.sum()), r["items"] or [], [s for s, _ in spans], [e for _, e in spans]))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
@@ -194,6 +230,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     spark, out = docs.sparkSession, docs
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    for block in _blocks(benchmark, item_id, item_text, window, max_bytes):
-        out = out.mapInArrow(_remove(spark.sparkContext.broadcast(WindowSet(block, window)), text_col, remove == "spans"), docs.schema)
+    blocks, n = _blocks(benchmark, item_id, item_text, max_bytes)
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(WindowSet(block, window))
+        left = out.mapInArrow(_remove(sent, text_col, remove == "spans"), docs.schema)
+        if n == 1:
+            return left
+        left = common.materialise(left, "decontaminated")
+        sent.destroy()  # one block at a time
+        common.discard(out)
+        out = left
     return out
