@@ -7,7 +7,8 @@ shuffle, these counts are joined to the n-grams by position and summed per docum
 block, and ranges of mixed 64-bit hashes are even, so no key is hot.
 
 Model: words are runs of letters, digits and bytes from 0x80 on, A-Z as a-z. c(...) counts over all documents. An
-n-gram of two words or more is seen if c >= ``min_count``. S(w|uv) = c(uvw)/c(uv) if uvw is seen, else 0.4 S(w|v);
+n-gram of two words or more is seen if c >= ``min_count`` (1, the plain rule, unless asked otherwise; a text's own n-grams are
+in the counts, so on the corpus itself the plain rule never backs off, and 2 is what tells texts apart there). S(w|uv) = c(uvw)/c(uv) if uvw is seen, else 0.4 S(w|v);
 S(w|v) = c(vw)/c(v) if vw is seen, else 0.4 c(w)/N. A document's first words have shorter histories.
 
 Nulls: a null text is empty: 0 words, a log score of 0 and no perplexity; a null id stays null. Repeated rows are
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from . import common
 from .bytewords import column_words
 
-ORDERS, ALPHA, MIN_COUNT = 3, 0.4, 2
+ORDERS, ALPHA, MIN_COUNT = 3, 0.4, 1
+#: Text bytes whose n-grams make up a range of hashes, about: the number of ranges follows the corpus.
+RANGE_BYTES = 16 << 20
 #: Text bytes of a block, at most (a longer text is a block of its own).
 BLOCK_BYTES = 22 << 20
 
@@ -245,10 +248,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a
     n = common.n_partitions(spark)
     # the input's own partition number: the task's differs between the two readings, as one stands in a union
     texts = common.text_only(docs, id_col, text_col).select("doc_id", "text", F.spark_partition_id().alias("partition"))
-    sent = texts.mapInArrow(_send(n), "block long, part long, hashes binary, counts binary")
-    counted = sent.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(_count(n, min_count), "block long, part long, n long, data binary")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).head()[0]
+    ranges = max(n, -(-size // RANGE_BYTES))
+    sent = texts.mapInArrow(_send(ranges), "block long, part long, hashes binary, counts binary")
+    counted = sent.repartition(n, "part").sortWithinPartitions("part", "block").mapInArrow(_count(ranges, min_count), "block long, part long, n long, data binary")
     both = counted.unionByName(texts.mapInArrow(_texts, "block long, part long, n long, data binary"))
-    scored = both.repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(_score(n, alpha), "doc_id long, n_words long, log_sum double, n_floor long")
+    scored = both.repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(_score(ranges, alpha), "doc_id long, n_words long, log_sum double, n_floor long")
     kept = common.materialise(scored, "lm-scores")
     total = kept.agg(F.coalesce(F.sum("n_words"), F.lit(0))).head()[0]
     log_n = float(np.log10(total)) if total else 0.0

@@ -52,8 +52,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: On the corpus that the counts are of, an n-gram that stands there once is the text's own: it doesn't count as seen.
+OP6_MIN_COUNT = 2
+
+
 def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(common.table(spark, sf_dir, "documents"))
+    return lm_scores(common.table(spark, sf_dir, "documents"), min_count=OP6_MIN_COUNT)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,4 +119,4 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN pos USING (r) LEFT JOIN it USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_stupid_backoff": lm_sql(), "op7_license_scan": licenses_sql(), "op10_decontamination": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_stupid_backoff": lm_sql(min_count=OP6_MIN_COUNT), "op7_license_scan": licenses_sql(), "op10_decontamination": OP10_SQL}

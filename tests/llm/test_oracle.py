@@ -22,3 +22,13 @@ def test_query(spark, sf_dir, name):
         c.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
     df, want = QUERIES[name](spark, sf_dir), c.sql(ORACLE_SQL[name])
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
+
+
+def test_plain_backoff(spark, sf_dir):
+    """Every n-gram that is there counts as seen."""
+    from quern.llm.lm_scores import lm_scores, oracle
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    df, want = lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet")), c.sql(oracle())
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
