@@ -5,8 +5,8 @@ Two kinds of paragraphs, so that a passage is found wherever it stands:
 * Lines of at least ``MIN_WORDS`` words, alike or nearly. Bands of MinHashes are tuned so that two lines at the threshold
   meet with the wanted probability; lines that share a band are gathered by its key, once for each set that meets, and
   compared by the exact Jaccard coefficient of their word shingles: a search from text to text that visits each once, so
-  a group of like texts costs no pairs. Keys of over ``HOT`` texts are split into pieces compared two by two in separate
-  tasks. Links give components by star rounds; the first occurrence (least doc_id, then place) of each component stays.
+  a group of like texts costs no pairs. Keys of many texts are split into pieces that share one text, their lead; what
+  isn't like it meets all pieces. Links give components by star rounds; the first occurrence (least doc_id, then place) of each component stays.
 * Every run of ``RUN`` words, whatever the line breaks do: a sliding paragraph. Its band is the MinHash of its shingles of
   ``RUN_SHINGLE`` words, so equal runs always share it (recall 1), and neighbouring runs mostly share it too: a document
   writes each band once, about one for 17 words. In documents that share a band with another text, the runs of that band
@@ -39,7 +39,7 @@ from .graph import components
 SHINGLE, THRESHOLD, RECALL, MIN_WORDS = 5, 0.8, 0.999, 25
 #: Words of a sliding paragraph, and of the shingles that its MinHash is taken over.
 RUN, RUN_SHINGLE = 50, 18
-#: Texts of one band key that a task compares; more are split.
+#: Texts that a task compares at most; of a key's texts, a sixteenth of it in the first place.
 HOT = 4096
 #: Most bands that tuning may take: each is a row per text in the shuffle.
 MOST_BANDS = 16
@@ -241,7 +241,7 @@ def _verify(threshold: float, shingle: int):
             label = link_like(shingle_sets(lines, shingle), threshold)
             own = np.flatnonzero(label != np.arange(len(label)))
             t = np.array(texts, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(t[own]), pa.array(t[label[own]])], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), at[0], np.int64)), pa.array(t[own]), pa.array(t[label[own]])], ["key", "a", "b"])
 
         for b in batches:
             for key, lo, hi, text, s in zip(*(b.column(c).to_pylist() for c in ("key", "lo", "hi", "text_hash", "line")), strict=True):
@@ -261,15 +261,41 @@ def _verify(threshold: float, shingle: int):
 def verified_links(members: DataFrame, lines: DataFrame, shingle: int, threshold: float, hot: int = HOT) -> DataFrame:
     """Links (a, b) that connect the texts of each group by exact Jaccard at the threshold or above.
 
-    members: key, text_hash, n (texts of the key); lines: text_hash, line (its bytes). Groups of over ``hot`` texts are
-    split into pieces that are compared two by two.
+    members: key, text_hash, n (texts of the key), cheap to read again; lines: text_hash, line (its bytes). A group of over
+    ``hot / 16`` texts is dealt into pieces of that size, each with the group's lead, its least text: copies of one text
+    are all linked to it there, in as many tasks as there are pieces. Only the texts that no piece links to the lead
+    meet all the others, in chunks of ``hot / 2`` against pieces of that size, so every link is found whatever the group is.
     """
-    pieces = F.when(F.col("n") > hot, F.ceil(F.col("n") / (hot // 2)).cast("int")).otherwise(F.lit(1))
-    split = members.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("text_hash"), F.col("pieces")).cast("int"))
-    pairs = split.select("key", "text_hash", "piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
-    groups = pairs.select("key", F.least("piece", "other").alias("lo"), F.greatest("piece", "other").alias("hi"), "text_hash").join(lines, "text_hash")
+    n_tasks = common.n_partitions(members.sparkSession)
     order = ["key", "lo", "hi"]
-    return groups.repartition(common.n_partitions(members.sparkSession), *order).sortWithinPartitions(*order, "text_hash").mapInArrow(_verify(threshold, shingle), "a long, b long")
+
+    def verified(groups: DataFrame) -> DataFrame:
+        rows = groups.select(*order, "text_hash").join(lines, "text_hash")
+        return rows.repartition(n_tasks, *order).sortWithinPartitions(*order, "text_hash").mapInArrow(_verify(threshold, shingle), "key long, a long, b long")
+
+    def dealt(name: str, n, size: int):
+        return F.pmod(F.xxhash64("text_hash", F.lit(name)), F.greatest(F.ceil(n / size), F.lit(1))).cast("int")
+
+    piece, wide = max(1, hot // 16), max(1, hot // 2)
+    large = members.where(F.col("n") > piece)
+    if large.isEmpty():
+        return verified(members.select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "text_hash")).select("a", "b")
+    lines = common.materialise(lines, "lines")  # read for the pieces and again for what is left
+    lead = common.materialise(large.groupBy("key").agg(F.min("text_hash").alias("lead"), F.max("n").alias("n")), "leads")
+    in_pieces = members.select("key", F.when(F.col("n") > piece, dealt("piece", F.col("n"), piece)).otherwise(0).alias("lo"), F.lit(0).alias("hi"), "text_hash")
+    with_lead = lead.select("key", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / piece).cast("int") - 1)).alias("lo"), F.lit(0).alias("hi"), F.col("lead").alias("text_hash"))
+    first = common.materialise(verified(in_pieces.unionByName(with_lead)), "piece-links")
+    near_lead = first.join(lead.select("key", F.col("lead").alias("b")), ["key", "b"]).select("key", F.col("a").alias("text_hash"))
+    left = large.join(lead.select("key", F.col("lead").alias("text_hash")), ["key", "text_hash"], "left_anti").join(near_lead, ["key", "text_hash"], "left_anti")
+    left = common.materialise(left.select("key", "text_hash", "n"), "left")
+    if left.isEmpty():
+        return first.select("a", "b")
+    many = common.materialise(left.groupBy("key").agg(F.count("*").alias("left")), "left-sizes")
+    chunks = F.greatest(F.ceil(F.col("left") / wide), F.lit(1)).cast("int")
+    pieces = F.greatest(F.ceil(F.col("n") / wide), F.lit(1)).cast("int")
+    own = left.join(many, "key").select("key", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("lo"), dealt("chunk", F.col("left"), wide).alias("hi"), "text_hash")
+    others = large.join(many, "key").select("key", dealt("wide", F.col("n"), wide).alias("lo"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("hi"), "text_hash")
+    return first.select("a", "b").unionByName(verified(own.unionByName(others)).select("a", "b"))
 
 
 def like_lines(texts: DataFrame, min_words: int = MIN_WORDS, shingle: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, hot: int = HOT) -> DataFrame:
@@ -282,13 +308,14 @@ def like_lines(texts: DataFrame, min_words: int = MIN_WORDS, shingle: int = SHIN
     met = keys.repartition(n, "key").sortWithinPartitions("key", "text_hash").mapInArrow(_meeting, "key long, text_hash long, set long, n long")
     met = written = common.materialise(met, "meeting")
     once = met.groupBy("set").agg(F.min("key").alias("key"))  # a set of texts that meets in several bands is compared once
-    met = met.join(once, ["set", "key"]).select("key", "text_hash", "n")
+    met = common.materialise(met.join(once, ["set", "key"]).select("key", "text_hash", "n"), "met")
     wanted = met.select("text_hash").distinct()
     lines = only.mapInArrow(_texts(min_words), "text_hash long, line binary").join(wanted, "text_hash", "left_semi")
     lines = lines.groupBy("text_hash").agg(F.first("line").alias("line"))
     links = verified_links(met, lines, shingle, threshold, hot)
     reach = components(links).select(F.col("node").alias("text_hash"), "label")
     common.discard(written)  # the components are written by now
+    common.discard(met)
     classed = places.join(reach, "text_hash", "left").withColumn("label", F.coalesce("label", "text_hash"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "paragraph")
     first = classed.groupBy("label").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first != final")
@@ -418,7 +445,8 @@ def equal_runs(texts: DataFrame, gone: DataFrame, run: int = RUN, shingle: int =
     several = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     met = keys.join(several, "band", "left_semi").groupBy("row").agg(F.collect_list("band").alias("bands"))
     spans = gone.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
-    rows = texts.join(met.join(spans, "row", "left"), "row").select("doc_id", "row", "text", "bands", "gone")
+    # a document that is there several times is read once
+    rows = texts.join(met.join(spans, "row", "left"), "row").select("doc_id", "row", "text", "bands", "gone").dropDuplicates(["row"])
     shared = common.materialise(rows.mapInArrow(_shared_runs(run, shingle), "doc_id long, row long, paragraph long, start long, end long, word long, hash long, late boolean"), "shared")
     common.discard(keys)
     order = F.struct("late", F.col("doc_id").isNull().alias("last"), "doc_id", "row", "word", "paragraph")

@@ -26,7 +26,7 @@ from quern.llm.lm_scores import _pack, _unpack
 from quern.llm.packing import difference, windows
 from quern.llm.pretokens import PieceTable, Pretokenizer
 from quern.llm.queries import QUERIES, tokenizer_json
-from quern.llm.substring_dedup import Runs, link_like, remove_repeats, tune
+from quern.llm.substring_dedup import Runs, like_lines, link_like, remove_repeats, tune
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -224,6 +224,23 @@ def test_substring_dedup(spark, sf_dir, texts):
     assert want == got and any(x[2] for x in got.values())
 
 
+def test_large_groups_link_the_same(spark, sf_dir):
+    """Groups dealt into pieces, with leads and leftovers, give the components that whole groups give."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+    rows = []
+    for i in range(90):  # chains: each is like the one before, the ends aren't like each other
+        words = list(base)
+        words[: i // 2] = [f"n{k}" for k in range(i // 2)]
+        rows.append((10**6 + i, " ".join(words)))
+    docs = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    line = [sorted((r["doc_id"], r["paragraph"], r["component_id"], r["removed"]) for r in like_lines(docs.withColumn("row", F.col("doc_id")), hot=hot).collect()) for hot in (4096, 32)]
+    assert line[0] == line[1] and len(line[0]) > 50
+    near = [sorted((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs, hot=hot).collect()) for hot in (4096, 32)]
+    assert near[0] == near[1]
+
+
 def word_runs(text, n=50):
     """(first byte, end byte, words) of every run of n words; a word said again at once counts once."""
     words = []
@@ -511,7 +528,7 @@ def test_pipeline(spark, sf_dir, texts):
     words = [tuple(re.findall(r"[^\x20\x09-\x0D]+", kept[i]["text"].translate(LOW))) for i in ids]
     sets = [{w[k : k + 5] for k in range(len(w) - 4)} if len(w) > 4 else {w} for w in words]
     groups = classes(len(ids), jaccard_links(sets, 0.8))
-    assert abs(len(groups) - len(unique)) <= 0.01 * len(groups)  # the ladder of fingerprints finds 99 % of links
+    assert set(unique) == {ids[min(g)] for g in groups}  # bands find 99.9 % of links; on these tables, all
     assert all(c["n_chars"] == len(c["text"]) for c in cut.values())
     places = paragraph_sets({i: c["text"] for i, c in cut.items()})
     lines = [{w[i : i + 5] for i in range(len(w) - 4)} for _, _, w in places]
