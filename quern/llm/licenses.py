@@ -111,14 +111,14 @@ def template_bigrams(spark: SparkSession, templates: dict[str, str]) -> DataFram
 
 
 #: Words too common to anchor a search.
-COMMON = frozenset("a all an and any are as at be by can do for from has have if in is it may more not of on one only or other such than that the these this to under use was with without you your".split())
+COMMON = frozenset("a all an and any are as at be by can do for from has have if in is it may more not of on one only or other such than that the these this to under use was with without you your must see free code copy along shall nd sa nc".split())
 
 
 def anchors(templates: dict[str, str], threshold: float) -> list[str]:
     """Words of which every unit that can reach the threshold has at least one.
 
     Such a unit shares at least t/(2-t) of a template's bigrams; words are chosen, the most covering first, until the
-    bigrams without any of them are fewer than that.
+    bigrams without any of them are fewer than that. Long words are taken first, as fewer texts have them.
     """
     out: set[str] = set()
     for notice in templates.values():
@@ -127,12 +127,28 @@ def anchors(templates: dict[str, str], threshold: float) -> list[str]:
         need = math.ceil(threshold / (2 - threshold) * len(left) - 1e-9)
         while len(left) >= max(need, 1):
             count = Counter(w for pair in left for w in set(pair))
-            best = min(count, key=lambda w: (w in COMMON or len(w) < 2, w not in out, -count[w], w))
+            best = min(count, key=lambda w: (2 if w in COMMON or len(w) < 2 else int(len(w) < 5), w not in out, -count[w], w))
             out.add(best)
             left = {pair for pair in left if best not in pair}
     return sorted(out)
 
 
+def word_pattern(words: list[str]) -> str:
+    """A pattern of any of the words, as a tree of their letters: a text's word leaves it at its first other letter."""
+
+    def tree(rest: list[str]) -> str:
+        by: dict[str, list[str]] = {}
+        for w in rest:
+            by.setdefault(w[:1], []).append(w[1:])
+        ends = "" in by
+        parts = [c + tree(more) for c, more in sorted(by.items()) if c]
+        body = parts[0] if len(parts) == 1 and not ends else f"(?:{'|'.join(parts)}){'?' if ends else ''}" if parts else ""
+        return body
+
+    first = "".join(sorted({w[0] for w in words}))
+    return f"(?<![a-z0-9])(?=[{first}]){tree(sorted(words))}(?![a-z0-9])" if words else "(?!)"
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates: dict[str, str] | None = None) -> DataFrame:
     """Per document and template over the threshold: doc_id, license, dice (the best unit's), n_units (units over it)."""
     spark = docs.sparkSession
@@ -141,7 +157,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = found.agg(F.min("t_size"), F.max("t_size")).head()
     text = F.coalesce(F.col(text_col), F.lit(""))
     known = anchors(TEMPLATES if templates is None else templates, threshold)
-    docs = docs.where(F.lower(text).rlike(f"(?<![a-z0-9])(?:{'|'.join(known)})(?![a-z0-9])"))
+    docs = docs.where(F.lower(text).rlike(word_pattern(known)))
     sentences = F.split(F.regexp_replace(text, r"([.!?])[ \t\r\n]+", "$1\x1e"), "\x1e")
     units = F.array_distinct(F.concat(F.split(text, r"\r?\n"), sentences, F.split(text, r"\n[ \t\r]*\n"), F.array(text)))
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.posexplode(units).alias("unit", "line"))
