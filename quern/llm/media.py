@@ -267,7 +267,7 @@ def files(data: bytes, magic) -> list[tuple[int, int, str]]:
     """(offset, length, type) of the valid files in data in order: outer ones, and those that lie whole within them."""
     out: list[tuple[int, int, str]] = []
     around: list[tuple[int, str]] = []  # end and type of the files that the place is in
-    failed: dict[str, int] = {}
+    failed: set[str] = set()
     starts = sorted({(end - n + 1 - at, kind) for end, (n, kinds) in magic.iter(data.decode("latin-1")) for kind, at in kinds})
     for at, kind in starts:
         while around and around[-1][0] <= at:
@@ -278,8 +278,8 @@ def files(data: bytes, magic) -> list[tuple[int, int, str]]:
             if not around or at + length <= around[-1][0]:
                 out.append((at, length, kind))
                 around.append((at + length, kind))
-        elif kind == "application/pdf" and data.find(b"startxref", at) < 0 or kind == "application/zip" and data.find(b"PK\x05\x06", at) < 0:
-            failed[kind] = at  # nothing that could end such a file follows any more
+        elif kind == "application/pdf" and ((x := data.find(b"startxref", at)) < 0 or data.find(b"%%EOF", x) < 0) or kind == "application/zip" and data.find(b"PK\x05\x06", at) < 0:
+            failed.add(kind)  # nothing that could end such a file follows any more
     return out
 
 
