@@ -333,7 +333,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met_once = met.join(once, ["set", "key"]).select("key", "text_hash", "n")
     members = common.materialise(label.join(sizes, "label").select(F.col("label").alias("key"), "text_hash", "n").unionByName(met_once), "near")
     common.discard(met)
-    wanted = found.join(members.select(F.col("text_hash").alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    # a row for each text first, combined on the map side: a text may have any number of copies
+    wanted = found.groupBy("node").agg(F.min("row").alias("row")).join(members.select(F.col("text_hash").alias("node")).distinct(), "node", "left_semi")
     lines = rows.select("row", "text").join(wanted, "row").groupBy(F.col("node").alias("text_hash")).agg(F.first(F.encode("text", "UTF-8")).alias("line"))
     same = components(verified_links(members, lines, shingle, threshold, hot))
     common.discard(members)
