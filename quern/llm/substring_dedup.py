@@ -5,8 +5,8 @@ Two kinds of paragraphs, so that a passage is found wherever it stands:
 * Lines of at least ``MIN_WORDS`` words, alike or nearly. Bands of MinHashes are tuned so that two lines at the threshold
   meet with the wanted probability; lines that share a band are gathered by its key, once for each set that meets, and
   compared by the exact Jaccard coefficient of their word shingles: a search from text to text that visits each once, so
-  a group of like texts costs no pairs. Keys of many texts are split into pieces that share one text, their lead; what
-  isn't like it meets all pieces. Links give components by star rounds; the first occurrence (least doc_id, then place) of each component stays.
+  a group of like texts costs no pairs. Keys of many texts, or of many bytes, are split into pieces that share one text,
+  their lead; what isn't like it meets all pieces. Links give components by star rounds; the first occurrence (least doc_id, then place) of each component stays.
 * Every run of ``RUN`` words, whatever the line breaks do: a sliding paragraph. Its band is the MinHash of its shingles of
   ``RUN_SHINGLE`` words, so equal runs always share it (recall 1), and neighbouring runs mostly share it too: a document
   writes each band once, about one for 17 words. In documents that share a band with another text, the runs of that band
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -39,8 +39,8 @@ from .graph import components
 SHINGLE, THRESHOLD, RECALL, MIN_WORDS = 5, 0.8, 0.999, 25
 #: Words of a sliding paragraph, and of the shingles that its MinHash is taken over.
 RUN, RUN_SHINGLE = 50, 18
-#: Texts that a task compares at most; of a key's texts, a sixteenth of it in the first place.
-HOT = 4096
+#: Texts that a task compares at most, and their bytes (one text may be longer); of a key's texts, a sixteenth of it in the first place.
+HOT, HOT_BYTES = 4096, 1 << 25
 #: Most bands that tuning may take: each is a row per text in the shuffle.
 MOST_BANDS = 16
 
@@ -187,10 +187,10 @@ def _texts(min_words: int):
     return run
 
 
-def shingle_sets(lines: list[bytes], shingle: int) -> list[np.ndarray]:
+def shingle_sets(lines: pa.Array, shingle: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each line; one of fewer words is one shingle."""
     out = []
-    for _, _, w in column_words(pa.array(lines, pa.binary()), IS_SOLID):
+    for _, _, w in column_words(lines, IS_SOLID):
         at, h = w.ngrams(shingle)
         cut = np.searchsorted(w.doc[at], np.arange(w.n_docs + 1))
         word = np.searchsorted(w.doc, np.arange(w.n_docs + 1))
@@ -200,17 +200,26 @@ def shingle_sets(lines: list[bytes], shingle: int) -> list[np.ndarray]:
 
 
 def link_like(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """For each sorted set the least index that it reaches by Jaccard >= threshold."""
+    """For each sorted set the least index that it reaches by Jaccard >= threshold.
+
+    Only hashes of several sets are kept, numbered in four bytes, and read for the sets that aren't visited yet.
+    """
     n = len(sets)
     size = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    _, flat = np.unique(flat, return_inverse=True)
-    of = np.repeat(np.arange(n), size)
-    cut = np.cumsum(size) - size
+    several = np.concatenate(sets)
+    several.sort()
+    several = np.unique(several[1:][several[1:] == several[:-1]])
+    shared = []
+    for s in sets:
+        at = np.searchsorted(several, s)
+        at[at == len(several)] = 0
+        shared.append(at[several[at] == s].astype(np.int32) if len(several) else np.zeros(0, np.int32))
+    count = np.array([len(x) for x in shared])
     label = np.full(n, -1)
-    mark = np.zeros(int(flat.max()) + 1, bool)
-    open_ = np.arange(n)  # not visited yet
-    own, own_of = flat, of
+    mark = np.zeros(len(several), bool)
+    open_ = np.flatnonzero(count)  # not visited yet
+    own = np.concatenate(shared)
+    first = np.cumsum(count[open_]) - count[open_]
     for seed in range(n):
         if label[seed] >= 0:
             continue
@@ -219,14 +228,15 @@ def link_like(sets: list[np.ndarray], threshold: float) -> np.ndarray:
         while todo:
             i = todo.pop()
             if len(open_) > 64 and (label[open_] < 0).sum() * 2 < len(open_):  # forget the visited
-                open_ = open_[label[open_] < 0]
-                keep = label[of] < 0
-                own, own_of = flat[keep], of[keep]
-            mine = flat[cut[i] : cut[i] + size[i]]
-            mark[mine] = True
-            both = np.bincount(own_of[mark[own]], minlength=n)
-            mark[mine] = False
-            like = np.flatnonzero((both >= threshold * (size + size[i] - both) - 1e-9) & (both > 0) & (label < 0))
+                keep = label[open_] < 0
+                own, open_ = own[np.repeat(keep, count[open_])], open_[keep]
+                first = np.cumsum(count[open_]) - count[open_]
+            if not count[i] or not len(open_):
+                continue
+            mark[shared[i]] = True
+            both = np.add.reduceat(mark[own], first, dtype=np.int32)
+            mark[shared[i]] = False
+            like = open_[(both >= threshold * (size[open_] + size[i] - both) - 1e-9) & (both > 0) & (label[open_] < 0)]
             label[like] = seed
             todo += like.tolist()
     return label
@@ -235,66 +245,75 @@ def link_like(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 def _verify(threshold: float, shingle: int):
     @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, texts, lines = None, [], []
+        at, texts, sets = None, [], []
 
         def links():
-            label = link_like(shingle_sets(lines, shingle), threshold)
+            label = link_like(sets, threshold)
             own = np.flatnonzero(label != np.arange(len(label)))
             t = np.array(texts, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), at[0], np.int64)), pa.array(t[own]), pa.array(t[label[own]])], ["key", "a", "b"])
 
         for b in batches:
-            for key, lo, hi, text, s in zip(*(b.column(c).to_pylist() for c in ("key", "lo", "hi", "text_hash", "line")), strict=True):
-                if (key, lo, hi) != at:
-                    if len(texts) > 1:
-                        yield links()
-                    at, texts, lines = (key, lo, hi), [], []
-                if not texts or texts[-1] != text:
-                    texts.append(text)
-                    lines.append(s)
+            for x, y in chunks(column_bytes(b.column("line"))[1]):
+                part = b.slice(x, y - x)
+                for key, lo, hi, text, s in zip(*(part.column(c).to_pylist() for c in ("key", "lo", "hi", "text_hash")), shingle_sets(part.column("line"), shingle), strict=True):
+                    if (key, lo, hi) != at:
+                        if len(texts) > 1:
+                            yield links()
+                        at, texts, sets = (key, lo, hi), [], []
+                    if not texts or texts[-1] != text:
+                        texts.append(text)
+                        sets.append(s)
         if len(texts) > 1:
             yield links()
 
     return run
 
 
-def verified_links(members: DataFrame, lines: DataFrame, shingle: int, threshold: float, hot: int = HOT) -> DataFrame:
+def parts(n: Column, texts: int, size: Column, n_bytes: int) -> Column:
+    """How many parts keep to so many texts and bytes each, on average."""
+    return F.greatest(F.ceil(n / texts), F.ceil(size / n_bytes), F.lit(1)).cast("int")
+
+
+def verified_links(members: DataFrame, lines: DataFrame, shingle: int, threshold: float, hot: int = HOT, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Links (a, b) that connect the texts of each group by exact Jaccard at the threshold or above.
 
     members: key, text_hash, n (texts of the key), cheap to read again; lines: text_hash, line (its bytes). A group of over
-    ``hot / 16`` texts is dealt into pieces of that size, each with the group's lead, its least text: copies of one text
-    are all linked to it there, in as many tasks as there are pieces. Only the texts that no piece links to the lead
-    meet all the others, in chunks of ``hot / 2`` against pieces of that size, so every link is found whatever the group is.
+    ``hot / 16`` texts or ``hot_bytes / 16`` bytes is dealt into pieces of that size, each with the group's lead, its least
+    text: copies of one text are all linked to it there, in as many tasks as there are pieces. Only the texts that no piece
+    links to the lead meet all the others, in chunks of half the limits against pieces of that size, so every link is found
+    whatever the group is, and what a task holds doesn't follow the length of the texts.
     """
     n_tasks = common.n_partitions(members.sparkSession)
     order = ["key", "lo", "hi"]
+    lines = common.materialise(lines.withColumn("size", F.octet_length("line").cast("long")), "lines")  # read for the sizes, the pieces, and what is left
+    sized = lines.select("text_hash", "size")
 
     def verified(groups: DataFrame) -> DataFrame:
-        rows = groups.select(*order, "text_hash").join(lines, "text_hash")
+        rows = groups.select(*order, "text_hash").join(lines.select("text_hash", "line"), "text_hash")
         return rows.repartition(n_tasks, *order).sortWithinPartitions(*order, "text_hash").mapInArrow(_verify(threshold, shingle), "key long, a long, b long")
 
-    def dealt(name: str, n, size: int):
-        return F.pmod(F.xxhash64("text_hash", F.lit(name)), F.greatest(F.ceil(n / size), F.lit(1))).cast("int")
+    def dealt(name: str, n: Column) -> Column:
+        return F.pmod(F.xxhash64("text_hash", F.lit(name)), n).cast("int")
 
-    piece, wide = max(1, hot // 16), max(1, hot // 2)
-    large = members.where(F.col("n") > piece)
-    if large.isEmpty():
+    piece, wide = (max(1, hot // 16), max(1, hot_bytes // 16)), (max(1, hot // 2), max(1, hot_bytes // 2))
+    groups = members.join(sized, "text_hash").groupBy("key").agg(F.min("text_hash").alias("lead"), F.max("n").alias("n"), F.sum("size").alias("size"))
+    lead = groups.where((F.col("n") > piece[0]) | (F.col("size") > piece[1]))
+    lead = common.materialise(lead.select("key", "lead", *(parts(F.col("n"), k, F.col("size"), b).alias(x) for x, (k, b) in (("pieces", piece), ("wide", wide)))), "leads")
+    if lead.isEmpty():
         return verified(members.select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "text_hash")).select("a", "b")
-    lines = common.materialise(lines, "lines")  # read for the pieces and again for what is left
-    lead = common.materialise(large.groupBy("key").agg(F.min("text_hash").alias("lead"), F.max("n").alias("n")), "leads")
-    in_pieces = members.select("key", F.when(F.col("n") > piece, dealt("piece", F.col("n"), piece)).otherwise(0).alias("lo"), F.lit(0).alias("hi"), "text_hash")
-    with_lead = lead.select("key", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / piece).cast("int") - 1)).alias("lo"), F.lit(0).alias("hi"), F.col("lead").alias("text_hash"))
+    large = members.join(lead.select("key", "wide"), "key").select("key", "text_hash", "wide")
+    in_pieces = members.join(lead.select("key", "pieces"), "key", "left").select("key", F.coalesce(dealt("piece", F.col("pieces")), F.lit(0)).alias("lo"), F.lit(0).alias("hi"), "text_hash")
+    with_lead = lead.select("key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("lo"), F.lit(0).alias("hi"), F.col("lead").alias("text_hash"))
     first = common.materialise(verified(in_pieces.unionByName(with_lead)), "piece-links")
     near_lead = first.join(lead.select("key", F.col("lead").alias("b")), ["key", "b"]).select("key", F.col("a").alias("text_hash"))
     left = large.join(lead.select("key", F.col("lead").alias("text_hash")), ["key", "text_hash"], "left_anti").join(near_lead, ["key", "text_hash"], "left_anti")
-    left = common.materialise(left.select("key", "text_hash", "n"), "left")
+    left = common.materialise(left.join(sized, "text_hash").select("key", "text_hash", "wide", "size"), "left")
     if left.isEmpty():
         return first.select("a", "b")
-    many = common.materialise(left.groupBy("key").agg(F.count("*").alias("left")), "left-sizes")
-    chunks = F.greatest(F.ceil(F.col("left") / wide), F.lit(1)).cast("int")
-    pieces = F.greatest(F.ceil(F.col("n") / wide), F.lit(1)).cast("int")
-    own = left.join(many, "key").select("key", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("lo"), dealt("chunk", F.col("left"), wide).alias("hi"), "text_hash")
-    others = large.join(many, "key").select("key", dealt("wide", F.col("n"), wide).alias("lo"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("hi"), "text_hash")
+    many = common.materialise(left.groupBy("key").agg(parts(F.count("*"), wide[0], F.sum("size"), wide[1]).alias("chunks")), "left-sizes")
+    own = left.join(many, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("lo"), dealt("chunk", F.col("chunks")).alias("hi"), "text_hash")
+    others = large.join(many, "key").select("key", dealt("wide", F.col("wide")).alias("lo"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("hi"), "text_hash")
     return first.select("a", "b").unionByName(verified(own.unionByName(others)).select("a", "b"))
 
 

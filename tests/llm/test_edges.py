@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -212,3 +214,63 @@ def test_token_counts_batches_of_listings_only():
         rows = [r for b in given for r in b.to_pylist()]
         assert sum(r["listing"] is not None for r in out) == sum(r["listing"] is not None for r in rows)
         assert sum(int.from_bytes(r["sums"], "little") for r in out if r["sums"]) == 10 * sum(r["postings"] is not None for r in rows)
+
+
+@pytest.mark.parametrize("n, n_words", [(400, 1500), (60, 8000)])
+def test_linking_long_lines_takes_little_memory(n, n_words):
+    """Near copies of a long line: bytes of memory a word, over the sets themselves."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, n_words).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(n_words) < 0.2, rng.integers(0, 1 << 63, n_words).astype(np.uint64), base)) for _ in range(n)]
+    tracemalloc.start()
+    substring_dedup.link_like(sets, 0.8)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 32 * sum(map(len, sets))
+
+
+def long_lines(n, n_words, seed=5):
+    """Chains of ever fewer words of the first line, so that most aren't like the lead."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, n_words)]
+    return [b" ".join(x.encode() for x in [f"n{k}" for k in range(i * n_words // 100)] + base[i * n_words // 100 :]) for i in range(n)]
+
+
+def test_long_lines_are_dealt_by_their_bytes(spark, monkeypatch):
+    """Few but long lines: the same components, and no task compares more than the bytes that it is allowed."""
+    lines = long_lines(48, 800)
+    rows = [(1, i, len(lines)) for i in range(len(lines))]
+    members = spark.createDataFrame(rows, "key long, text_hash long, n long")
+    texts = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(lines)], "text_hash long, line binary")
+    limit = 16 * max(map(len, lines))  # a line in a piece, eight on either side
+    seen = []
+    real = substring_dedup._verify
+
+    def watched(threshold, shingle):
+        run = real(threshold, shingle)
+
+        def sizes(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                yield from run(iter([b]))
+                for k in {*zip(*(b.column(c).to_pylist() for c in ("key", "lo", "hi")), strict=True)}:
+                    n = sum(len(s) for *at, s in zip(*(b.column(c).to_pylist() for c in ("key", "lo", "hi", "line")), strict=True) if tuple(at) == k)
+                    yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([n]), pa.array([n])], ["key", "a", "b"])
+
+        return sizes
+
+    def found(hot_bytes):
+        links = [(r["a"], r["b"]) for r in substring_dedup.verified_links(members, texts, 5, 0.8, 4096, hot_bytes).collect()]
+        held = [a for a, b in links if a == b]
+        seen.append(max(held))
+        reach = list(range(len(lines)))
+        for _ in lines:
+            for a, b in links:
+                if a != b:
+                    reach[a] = reach[b] = min(reach[a], reach[b])
+        return reach
+
+    monkeypatch.setattr(substring_dedup, "_verify", watched)
+    assert found(1 << 40) == found(limit)
+    assert seen[0] >= sum(map(len, lines)) > 2 * limit >= seen[1]
